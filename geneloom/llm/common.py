@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, the only word separator of every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -57,6 +58,11 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def added(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """df's schema with one more column."""
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
+
+
 def as_text(df: DataFrame, column: str, alias: str = "text") -> "F.Column":
     return F.coalesce(df[column].cast("string"), F.lit("")).alias(alias)
 

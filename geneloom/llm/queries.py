@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, token_counts, url_filter
+from . import chat_format, quality_rules, sentence_pieces, token_counts, url_filter, warc
 from .common import Batches
 
 
@@ -22,6 +22,78 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Quality rules.
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), counts=True)
+
+
+OP1_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(words) - 1), lambda i: {'pos': i, 'a': words[i], 'b': words[i + 1], 'c': words[i + 2]}), recursive := true) FROM docs WHERE len(words) >= 3
+), often AS (
+  SELECT doc_id, pos FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT word_no) AS n FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS word_no FROM often) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) AS n, count(DISTINCT line) AS different FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), counts AS (
+  SELECT docs.doc_id, len(words) AS n_words, length(list_aggregate(words, 'string_agg', '')) AS chars,
+         length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+         coalesce(lines.n - lines.different, 0) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines, coalesce(covered.n, 0) AS n_repeat_words,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper_letters, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters,
+         len(list_filter(words, lambda w: regexp_matches(w, '[A-Za-z]|[^\x00-\x7F]'))) AS n_letter_words
+  FROM docs LEFT JOIN lines ON lines.doc_id IS NOT DISTINCT FROM docs.doc_id LEFT JOIN covered ON covered.doc_id IS NOT DISTINCT FROM docs.doc_id
+), judged AS (
+  SELECT *, coalesce(chars, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 3 * n_words AND 10 * n_words AND 2 * n_dup_lines <= n_lines
+       AND 2 * upper_letters <= letters AND 10 * n_letter_words >= 8 * n_words AS kept
+FROM judged
+"""
+
+
+# WARC.
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.archive(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key")
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS payload FROM pages
+), d AS (
+  SELECT *, list_aggregate(list_transform(range(0, 8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS INTEGER) >> CAST(s AS INTEGER)) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY payload) AS response_id,
+    regexp_replace(lower(coalesce(url, '')), '^[^/?#]*://|#.*$', '', 'g') AS rest
+  FROM p
+), k AS (
+  SELECT *, regexp_replace(regexp_extract(rest, '^[^/?]*'), '^[^@]*@|^www\.|:(80|443)$', '', 'g') AS host FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> response_id THEN response_id END AS refers_to,
+       array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || regexp_replace(rest, '^[^/?]*', '') AS url_key
+FROM k
+"""
+
+
+# SentencePiece encoding and decoding.
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 # Chat formatting.
 
 #: The conversation added to the table: its texts hold control strings.
@@ -95,8 +167,11 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN {pattern} THEN 'block'
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op4_warc": op4_warc,
+    "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_token_counts": op8_token_counts,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
