@@ -67,4 +67,13 @@ def as_text(df: DataFrame, column: str, alias: str = "text") -> "F.Column":
     return F.coalesce(df[column].cast("string"), F.lit("")).alias(alias)
 
 
+def bounded_sample(texts: DataFrame, rows: int, chars: int) -> list[str]:
+    """At most `rows` texts of at most `chars` characters each. take() reads a partition or a few, not the table.
+
+    For decisions on cost and balance only: no result may depend on it.
+    """
+    text = F.col(texts.columns[0])
+    return [r[0] for r in texts.where(F.length(text) <= chars).sample(0.25, seed=7).take(rows)]
+
+
 Batches = Iterator[pa.RecordBatch]

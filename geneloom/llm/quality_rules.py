@@ -17,10 +17,9 @@ from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, added, as_text, prepare, texts_of
+from .common import Batches, added, as_text, bounded_sample, prepare, texts_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -115,18 +114,12 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sa
     Rules run on fresh features in turn, so that each bears the whole cost of what it needs. The sample is the only
     bounded part: it decides the order of the rules and nothing else.
     """
-
-    def run(batches: Batches):
-        for b in batches:
-            texts = texts_of(b.column(0))
-            for name, rule in names.items():
-                began, rejected = time.perf_counter(), sum(rule.rejects(Features(t)) for t in texts)
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, time.perf_counter() - began, rejected, len(texts))], ["rule", "seconds", "rejected", "rows"])
-
-    names = {r.name: r for r in rules}
-    some = docs.select(as_text(docs, text_col)).sample(0.2, seed=7).limit(sample_rows)
-    found = some.mapInArrow(run, "rule string, seconds double, rejected long, rows long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("rows").alias("n")).collect()
-    return {x["rule"]: (x["s"] / x["n"], x["r"] / x["n"]) for x in found}
+    texts, found = bounded_sample(docs.select(as_text(docs, text_col)), sample_rows, 1 << 16), {}
+    for rule in rules if texts else ():
+        began = time.perf_counter()
+        rejected = sum(rule.rejects(Features(t)) for t in texts)
+        found[rule.name] = ((time.perf_counter() - began) / len(texts), rejected / len(texts))
+    return found
 
 
 def plan(rules: tuple[Rule, ...], measured: dict[str, tuple[float, float]]) -> tuple[Rule, ...]:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, sentence_pieces, token_counts, url_filter, warc
+from . import chat_format, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
 from .common import Batches
 
 
@@ -59,6 +59,34 @@ FROM judged
 """
 
 
+# Substring dedup.
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, pos, array_to_string(words[pos:pos + 12], ' ') AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS pos FROM docs WHERE len(words) >= 13)
+), later AS (
+  SELECT doc_id, pos FROM windows QUALIFY doc_id > min(doc_id) OVER (PARTITION BY w)
+), gone AS (
+  SELECT DISTINCT doc_id, pos + k AS word_no FROM later, range(0, 13) AS r(k)
+), words AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS word_no FROM docs
+), kept AS (
+  SELECT w.doc_id, count(g.word_no) AS n_removed, string_agg(CASE WHEN g.word_no IS NULL THEN word END, ' ' ORDER BY w.word_no) AS kept
+  FROM words AS w LEFT JOIN gone AS g ON g.doc_id = w.doc_id AND g.word_no = w.word_no GROUP BY w.doc_id
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM docs AS d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
+"""
+
+
 # WARC.
 
 
@@ -168,10 +196,11 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN {pattern} THEN 'block'
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
     "op8_token_counts": op8_token_counts,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
