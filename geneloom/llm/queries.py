@@ -8,7 +8,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
+from . import chat_format, near_dedup, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
 from .common import Batches
 
 
@@ -162,6 +162,13 @@ FROM turns GROUP BY conv_id
 """
 
 
+# Near-duplicates.
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 # Token counts.
 
 
@@ -200,6 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
+    "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op10_url_filters": op10_url_filters,
 }
