@@ -132,7 +132,7 @@ def similar(one: np.ndarray, many: list[np.ndarray], percent: int) -> np.ndarray
     return 100 * both >= percent * union
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, kind: str = "long") -> DataFrame:
     """Those of the pairs (a, b) whose full sets are similar. Sets are dealt once per pair of blocks of ids, not per pair."""
     blocks = max(4, math.ceil(sets.count() / 1_000))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
@@ -149,10 +149,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             for i in range(0, len(bs), 500):
                 part = bs[i : i + 500]
                 out += [(a, b) for b, yes in zip(part, similar(found[a], [found[b] for b in part], percent)) if yes]
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+        name = pa.int64() if kind == "long" else pa.string()
+        return pa.table({"a": pa.array([x for x, _ in out], name), "b": pa.array([x for _, x in out], name)})
 
     needed = wanted.join(sets, "id").select(F.col("p").alias("p2"), F.col("q").alias("q2"), "id", "shingles")
-    return dealt.groupBy("p", "q").cogroup(needed.groupBy("p2", "q2")).applyInArrow(check, "a long, b long")
+    return dealt.groupBy("p", "q").cogroup(needed.groupBy("p2", "q2")).applyInArrow(check, f"a {kind}, b {kind}")
 
 
 def search_again(bands: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:

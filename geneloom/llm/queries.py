@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, near_dedup, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
+from . import chat_format, decontamination, line_dedup, near_dedup, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
 from .common import Batches
 
 
@@ -59,6 +60,14 @@ FROM judged
 """
 
 
+# Line dedup.
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 # Substring dedup.
 
 
@@ -176,6 +185,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+# Benchmark decontamination.
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # URL filters.
 
 
@@ -203,12 +219,14 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN {pattern} THEN 'block'
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
+    "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
