@@ -3,11 +3,60 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from geneloom.llm import decontamination, line_dedup, near_dedup, quality_rules, sentence_pieces
 from geneloom.llm.common import materialise
+from geneloom.llm.queries import tokenizer_path
 
-STAGES = []
-#: SQL can't express the near-duplicate and alignment stages on whole tables.
+#: Near-duplicate stages take five-word shingles and this similarity, in percent.
+SHINGLE_WORDS, SIMILARITY = 5, 80
+
+
+def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with n_chars, where there is one, brought up to date with the text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a quality rule rejects go."""
+    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go, and documents of which no line with a word is left."""
+    rows = line_dedup.dedup(docs, SIMILARITY)
+    emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return with_text(rows.where(~emptied), docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least doc_id stays."""
+    judged = near_dedup.near_duplicates(docs, SHINGLE_WORDS, SIMILARITY)
+    gone = judged.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item, in the same or in edited words, go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with the ids of their pieces."""
+    return sentence_pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("sentence_pieces", encode),
+]
+#: SQL can't express set-similarity joins on whole tables, alignments or the piece search; tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -53,10 +53,10 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
             if b - a >= words:
                 out.append(np.unique(runs[a : b - words + 1]))
             elif b > a:
-                h = np.uint64(b - a)
-                for x in w.hashes[a:b]:
-                    h = mix(np.array([h * np.uint64(31) + x]))[0]
-                out.append(np.array([h], np.uint64))
+                h = np.full(1, b - a, np.uint64)
+                for i in range(a, b):
+                    h = mix(h * np.uint64(31) + w.hashes[i : i + 1])
+                out.append(h)
             else:
                 out.append(np.zeros(0, np.uint64))
     return out
