@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi search.
 
-A text is marked (a space becomes U+2581, one is put before the text) and cut before each run of marks; no piece holds
-a mark after another character, so the best segmentation of a text is that of its marked words. The distinct marked
-words of a batch are sorted, which walks their trie depth-first: each word goes on from the forward scores of the
+A text is marked (a space becomes U+2581, one is put before the text) and cut before each run of marks and before each
+run of characters that no piece holds right after a letter; as no piece spans a cut, the best segmentation of a text is
+that of its marked words. The distinct marked words of a batch are sorted, which walks their trie depth-first: each word goes on from the forward scores of the
 prefix it shares with the word before. The segmentation is the one of the highest sum of piece scores, as
 the model's own library finds in its unigram mode; characters without a piece become their UTF-8 byte pieces.
 """
@@ -13,7 +13,6 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +55,7 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces, scores and types of a model file."""
 
-    LIMIT, SHORT = 300_000, 48
+    LIMIT, SHORT = 150_000, 48
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -71,28 +70,54 @@ class PieceModel:
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces, so decoding can't be exact")
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i, k in enumerate(kinds) if k in (CONTROL, UNKNOWN)}
-        self.longest = max(map(len, self.scores))
+        #: What each id decodes to.
+        self.said = [bytes([self.byte_of[i]]) if k == BYTE else b"" if k in (CONTROL, UNKNOWN) else p.replace(MARK, " ").encode() for i, (p, k) in enumerate(zip(self.pieces, kinds))]
+        self.trie: dict = {}
+        for p, piece in self.scores.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = piece
         self.unknown = min(s for s, _ in self.scores.values()) - UNKNOWN_PENALTY
-        self.known: dict[str, list[int]] = {}
+        self.words = self.cuts()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def cuts(self) -> re.Pattern:
+        """What one marked word matches. Texts are cut before marks, and before what isn't a letter where no piece holds such a character right after a letter."""
+        other = {c for p in self.scores for c in p if not c.isalpha()} - {MARK}
+        if any(a != MARK and a not in other and b in other for p in self.scores for a, b in zip(p, p[1:])):
+            return re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        odd = re.escape("".join(sorted(c for c in other if c.isalnum() and not c.isdecimal())))  # such as superscript digits
+        letter, rest = rf"[^\W\d_{odd}]", rf"(?:[^\w{MARK}]|[\d_{odd}])"
+        return re.compile(f"{MARK}+{rest}*{letter}*|{rest}+{letter}*|{letter}+")
 
     def search(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) for sorted words. Of equal scores the segmentation with the longer last piece wins."""
-        scores, longest = self.scores, self.longest
+        root, unknown = self.trie, self.unknown
         best, back = [0.0], [(0, -1)]  # by end position: score, and (start, id) of the last piece; id -1 is unknown
+        open_at: list[list[tuple[int, dict]]] = [[]]  # by end position: the pieces begun and not yet ended, longest first
         before = ""
         for word in words:
-            shared = len(commonprefix([before, word]))
-            del best[shared + 1 :], back[shared + 1 :]
+            shared = 0
+            for x, y in zip(before, word):
+                if x != y:
+                    break
+                shared += 1
+            del best[shared + 1 :], back[shared + 1 :], open_at[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                top, last = None, None
-                for start in range(max(0, end - longest), end):
-                    if (piece := scores.get(word[start:end])) and (top is None or best[start] + piece[0] > top):
-                        top, last = best[start] + piece[0], (start, piece[1])
-                if word[end - 1] not in scores and (top is None or best[end - 1] + self.unknown > top):
-                    top, last = best[end - 1] + self.unknown, (end - 1, -1)
+                c, top, last, still = word[end - 1], None, None, []
+                for start, node in (*open_at[-1], (end - 1, root)):
+                    if child := node.get(c):
+                        still.append((start, child))
+                        if (piece := child.get("")) and (top is None or best[start] + piece[0] > top):
+                            top, last = best[start] + piece[0], (start, piece[1])
+                if (child := root.get(c)) is None or "" not in child:
+                    if top is None or best[end - 1] + unknown > top:
+                        top, last = best[end - 1] + unknown, (end - 1, -1)
                 best.append(top)
                 back.append(last)
+                open_at.append(still)
             before, ids, end = word, [], len(word)
             while end:
                 start, piece = back[end]
@@ -103,37 +128,34 @@ class PieceModel:
                 end = start
             yield word, ids[::-1]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """int32 ids of each text. The ids (as bytes) of short words used in the last batches are kept, up to two times LIMIT."""
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        cut = [WORD.findall((MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else "") for t in texts]
-        new = sorted({w for words in cut for w in words if w not in self.known})
-        long = {}
-        for word, ids in self.search(new):
-            (self.known if len(word) <= self.SHORT else long)[word] = ids
-        out = []
+            self.known, self.older = {}, self.known
+        cut = [self.words.findall((MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else "") for t in texts]
+        now, known, older = {}, self.known, self.older
         for words in cut:
-            ids: list[int] = []
-            for w in words:
-                ids += self.known[w] if w in self.known else long[w]
-            out.append(ids)
-        return out
+            now.update(dict.fromkeys(words))
+        new = []
+        for w in now:
+            if (ids := known.get(w) or older.get(w)) is None:
+                new.append(w)
+            else:
+                now[w] = ids
+        new.sort()
+        for word, ids in self.search(new):
+            now[word] = struct.pack(f"<{len(ids)}i", *ids)
+        if len(now) <= self.LIMIT:  # an unusual batch isn't kept
+            known.update((w, ids) for w, ids in now.items() if len(w) <= self.SHORT)
+        return [np.frombuffer(b"".join([now[w] for w in words]), "<i4") for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text; ids of control and unknown pieces are dropped, byte pieces that are no UTF-8 become U+FFFD."""
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.silent:
-                parts.append(self.pieces[i].replace(MARK, " ").encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        said = self.said
+        text = b"".join([said[i] for i in ids.tolist()]).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
 
-WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-
-
 @lru_cache(maxsize=2)
 def model(path: str) -> PieceModel:
     return PieceModel(path)
@@ -153,7 +175,7 @@ def encode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
         for b in batches:
             ids = model(model_path).encode(texts_of(b.column(text_col)))
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, offsets[-1])
+            flat = np.concatenate([*ids, np.zeros(0, np.int32)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], [*b.schema.names, ids_col])
 
     return docs.mapInArrow(run, added(docs, ids_col, T.ArrayType(T.IntegerType())))
@@ -166,7 +188,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
     def run(batches: Batches):
         for b in batches:
-            texts = [model(model_path).decode(x or []) for x in b.column(ids_col).to_pylist()]
+            texts = [model(model_path).decode(np.array(x or [], np.int32)) for x in b.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, text_col])
 
     return rows.mapInArrow(run, added(rows, text_col, T.StringType()))
@@ -174,16 +196,17 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_ids, ids_sha256 (little-endian int32), decoded_sha256, round_trip (the ids decode to the text)."""
-    rows = decode(encode(docs.select(docs[id_col], as_text(docs, text_col)), model_path), model_path)
 
     def run(batches: Batches):
+        pieces = model(model_path)
         for b in batches:
-            ids, texts, decoded = b.column("ids"), b.column("text").to_pylist(), b.column("decoded").to_pylist()
-            hashes = [sha256_hex(x.values.to_numpy().astype("<i4").tobytes()) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), pa.array([len(x) for x in ids], pa.int64()), pa.array(hashes), pa.array([sha256_hex(x.encode()) for x in decoded]), pa.array([a == x for a, x in zip(texts, decoded, strict=True)])],
-                [id_col, "n_ids", "ids_sha256", "decoded_sha256", "round_trip"],
-            )
+            rows = []
+            for t in texts_of(b.column(1)):
+                (ids,) = pieces.encode([t])
+                again = pieces.decode(ids)
+                rows.append((len(ids), sha256_hex(ids.tobytes()), sha256_hex(again.encode()), again == t))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], [id_col, "n_ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return docs.select(docs[id_col], as_text(docs, text_col)).mapInArrow(run, f"`{id_col}` {kind}, n_ids long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
