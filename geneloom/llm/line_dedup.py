@@ -2,8 +2,8 @@
 
 A line is the set of its words. Its tokens are ordered by rarity, and only its prefix, as many of the rarest tokens as a
 similar line must share one of, is dealt by token. Lines that share a prefix token are candidates if their sizes
-(length filter) and the tokens left behind the shared one (positional filter) allow the wanted similarity. Candidates
-are confirmed on full sets. Lines of equal sets form a class, joined as one; a line goes if an earlier line is similar.
+(length filter), the tokens left behind the shared one (positional filter) and the tokens in which they differ at least
+(the popcount of the XOR of their parity bitmaps) allow the wanted similarity. Candidates are confirmed on full sets. Lines of equal sets form a class, joined as one; a line goes if an earlier line is similar.
 """
 
 from __future__ import annotations
@@ -21,27 +21,54 @@ from .substring_dedup import Words, mix, pack, slices, unpack
 
 #: Tokens are counted in so many buckets; the order by (bucket's count, token hash) is the same for all lines.
 BUCKETS = 1 << 17
+#: Bitmaps have 64 bits; those of sets of so many words or more have 128, of which the first fold to 64.
+WIDE_FROM = 56
 #: Candidate pairs of a very frequent token are made in pieces of so many.
 PAIRS_AT_ONCE = 1 << 21
 
 
+#: Prefixes are packed by token for so many lines at once.
+LINES_AT_ONCE = 100_000
+
+
+def gathered(batches: Batches, rows: int):
+    """Batches put together to tables of about `rows` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def lower_bytes(column: pa.Array) -> list[bytes]:
     return [(x or "").lower().encode() for x in column.to_pylist()]
 
 
 class Lines:
-    """Distinct tokens of the lines of some texts: hash and line number of each, sorted by line."""
+    """Distinct tokens of the lines of some texts, by line and, in a line, from the rarest on.
 
-    def __init__(self, texts: list[bytes]) -> None:
+    The order is that of (bucket's count on a logarithmic scale, hash), the same for every line of the corpus.
+    """
+
+    def __init__(self, texts: list[bytes], rarity: np.ndarray) -> None:
         w = Words(texts, 1, 1)
-        data = np.frombuffer(w.buffer, np.uint8)
-        breaks = np.flatnonzero(data == 10)
+        breaks = np.flatnonzero(np.frombuffer(w.buffer, np.uint8) == 10)
         line = np.searchsorted(breaks, w.starts)
         self.first_line = np.r_[0, np.cumsum([t.count(b"\n") + 1 for t in texts])]  # of each text
-        order = np.lexsort((w.hashes, line))
-        self.token, self.line = w.hashes[order], line[order]
-        new = np.r_[True, (self.token[1:] != self.token[:-1]) | (self.line[1:] != self.line[:-1])] if len(order) else np.zeros(0, bool)
-        self.token, self.line = self.token[new], self.line[new]
+        rank = rarity[(w.hashes % np.uint64(BUCKETS)).astype(np.int64)] if len(line) else line
+        key = line.astype(np.uint64) << np.uint64(44) | rank.astype(np.uint64) << np.uint64(36) | w.hashes.astype(np.uint64) >> np.uint64(28)
+        order = np.argsort(key)
+        token, line, key = w.hashes[order], line[order], key[order]
+        new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])] if len(order) else np.zeros(0, bool)
+        if len(order) and (len(breaks) >= 1 << 20 or (new[1:] & (key[1:] == key[:-1])).any()):  # the short key doesn't tell all apart
+            order = np.lexsort((token, rank[order], line))
+            token, line = token[order], line[order]
+            new = np.r_[True, (token[1:] != token[:-1]) | (line[1:] != line[:-1])]
+        self.token, self.line = token[new], line[new]
 
 
 def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
@@ -67,11 +94,16 @@ def token_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def lines_of(docs: DataFrame, counts: np.ndarray, percent: int, least: int) -> DataFrame:
-    """(k1, k2, n, id, key, line, prefix) per line of at least `least` distinct words.
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """Counts on a scale of 0 to 255, eight steps for a doubling up to 2**24 and coarser beyond."""
+    return np.minimum(255, np.where(counts < 1 << 24, 8 * np.log2(counts + 1), 192 + np.log2(counts + 1) - 24)).astype(np.uint8)
+
+
+def lines_of(docs: DataFrame, rarity: np.ndarray, percent: int, least: int) -> DataFrame:
+    """(k1, k2, bits, wide, n, id, key, line, prefix) per line of at least `least` distinct words.
 
-    k1 and k2 are two hashes of the word set; the prefix (packed uint64, rarest first) is only given for a set's first
-    line in a batch.
+    k1 and k2 are two hashes of the word set, bits its parity bitmap and wide the upper half of the unfolded one; the prefix (packed uint64, rarest first) is only
+    given for a set's first line in a batch.
     """
 
     def run(batches: Batches):
@@ -79,86 +111,112 @@ def lines_of(docs: DataFrame, counts: np.ndarray, percent: int, least: int) -> D
             ids, keys = b.column("id").to_numpy(), b.column("key").to_numpy()
             seen: set[tuple[int, int]] = set()
             for begin, part in slices(lower_bytes(b.column("text"))):
-                x = Lines(part)
+                x = Lines(part, rarity)
                 if not len(x.line):
                     continue
                 cut = np.flatnonzero(np.r_[True, x.line[1:] != x.line[:-1]])
                 n = np.diff(np.r_[cut, len(x.line)])
                 k1, k2 = (np.add.reduceat(mix(x.token ^ np.uint64(c)), cut).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                rank = counts[(x.token % np.uint64(BUCKETS)).astype(np.int64)]
-                order = np.lexsort((x.token, rank, x.line))
-                token = x.token[order].astype("<u8")
-                size = prefix_sizes(n, percent)
-                line, long = x.line[cut], n >= least
+                bit = np.uint64(1) << (x.token >> np.uint64(57) & np.uint64(63))
+                bits, wide = (np.bitwise_xor.reduceat(v, cut).view(np.int64) for v in (bit, np.where(x.token >> np.uint64(63), bit, np.uint64(0))))
+                wide = np.where(n >= WIDE_FROM, wide, 0)
+                size, line, long = prefix_sizes(n, percent), x.line[cut], n >= least
                 doc = np.searchsorted(x.first_line, line, side="right") - 1
-                prefixes = []
+                prefixes, raw = [], x.token.astype("<u8").tobytes()
                 for c, s, a, z in zip(cut[long].tolist(), size[long].tolist(), k1[long].tolist(), k2[long].tolist()):
-                    prefixes.append(None if (a, z) in seen else token[c : c + s].tobytes())
+                    prefixes.append(None if (a, z) in seen else raw[8 * c : 8 * (c + s)])
                     seen.add((a, z))
                 doc, line = doc[long], line[long]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[long]), pa.array(k2[long]), pa.array(n[long]), pa.array(ids[doc + begin]), pa.array(keys[doc + begin]), pa.array((line - x.first_line[doc]).astype(np.int32)), pa.array(prefixes, pa.binary())],
-                    ["k1", "k2", "n", "id", "key", "line", "prefix"],
+                    [pa.array(k1[long]), pa.array(k2[long]), pa.array(bits[long]), pa.array(wide[long]), pa.array(n[long]), pa.array(ids[doc + begin]), pa.array(keys[doc + begin]), pa.array((line - x.first_line[doc]).astype(np.int32)), pa.array(prefixes, pa.binary())],
+                    ["k1", "k2", "bits", "wide", "n", "id", "key", "line", "prefix"],
                 )
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "k1 long, k2 long, n long, id long, key long, line int, prefix binary")
+    return docs.where("id IS NOT NULL").mapInArrow(run, "k1 long, k2 long, bits long, wide long, n long, id long, key long, line int, prefix binary")
 
 
-def candidates(lines: DataFrame, percent: int, parts: int) -> DataFrame:
-    """(x, y): pairs of k1 that pass the prefix, length and positional filters; a pair may come several times."""
+def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray | None = None, every: bool = False) -> DataFrame:
+    """(xb, xk, yb, yk, apart, more): earlier and later set, by bitmap and the low half of k1, of pairs that pass all filters.
+
+    For each token only a later set's most promising earlier one is given (the fewest differing bits, `apart`, then the
+    earliest); `more` tells that there are others. With `every`, lines have a column asks and all earlier sets of those
+    that ask are given. tokens: only these are dealt. A pair may come several times.
+    """
 
     def emit(batches: Batches):
-        for b in batches:
-            sizes, flat = np.array([len(p) // 8 for p in b.column("prefix").to_pylist()]), np.frombuffer(b"".join(b.column("prefix").to_pylist()), "<u8")
+        for b in gathered(batches, LINES_AT_ONCE):
+            prefixes = b.column("prefix").to_pylist()
+            sizes, flat = np.array([len(p) // 8 for p in prefixes], np.int64), np.frombuffer(b"".join(prefixes), "<u8")
             row = np.repeat(np.arange(len(sizes)), sizes)
             place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            k, n = b.column("k1").to_numpy(), b.column("n").to_numpy().astype(np.int32)
+            if tokens is not None:
+                held = np.isin(flat, tokens)
+                flat, row, place = flat[held], row[held], place[held]
+            bits, n, k = b.column("bits").to_numpy(), b.column("n").to_numpy().astype(np.int32), b.column("k").to_numpy().astype(np.int32)
+            wide = b.column("wide").to_numpy()
+            ids, line, asks = b.column("id").to_numpy(), b.column("line").to_numpy(), np.array(b.column("asks").to_pylist())
             part = flat % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             out = []
             for chunk in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
-                short = (flat[chunk] // np.uint64(parts)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()  # enough to tell tokens apart; pairs are confirmed
-                out.append((int(part[chunk[0]]), pack((short, k[row[chunk]], n[row[chunk]], place[chunk]))))
+                short = (flat[chunk] // np.uint64(parts)).astype(np.uint32)  # pairs are confirmed, so half of a hash is enough
+                r = row[chunk]
+                out.append((int(part[chunk[0]]), pack((short, bits[r], k[r], n[r], place[chunk], np.diff(ids[r], prepend=0), line[r], asks[r], wide[r][n[r] >= WIDE_FROM]))))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "data"])
 
     def join(chunks: pa.Table) -> pa.Table:
         held = [unpack(x) for x in chunks.column("data").to_pylist()]
-        wide = np.zeros((sum(len(x[1]) for x in held), 8), np.uint8)
-        wide[:, :6] = np.frombuffer(b"".join(x[0] for x in held), np.uint8).reshape(-1, 6)
-        token = wide.view(np.uint64)[:, 0]
-        k, n, place = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
-        order = np.lexsort((place, k, n, token))
-        token, k, n, place = token[order], k[order], n[order].astype(np.int64), place[order].astype(np.int64)
-        new = np.r_[True, (token[1:] != token[:-1]) | (k[1:] != k[:-1])]  # a set's copies from other batches go
-        token, k, n, place = token[new], k[new], n[new], place[new]
+        token, bits, k, n, place, ids, line, asks, some = (np.concatenate([np.cumsum(x[i]) if i == 5 else x[i] for x in held]) for i in range(9))
+        wide = np.zeros(len(n), np.int64)
+        wide[n >= WIDE_FROM] = some
+        order = np.lexsort((line, ids, k, bits, n, token))
+        token, bits, k, n, place, ids, line, asks, wide = (x[order] for x in (token, bits, k, n.astype(np.int64), place.astype(np.int64), ids, line, asks, wide))
+        new = np.r_[True, (token[1:] != token[:-1]) | (bits[1:] != bits[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
+        # a set's copies from other batches go; its first place stays
+        token, bits, k, n, place, ids, line, asks, wide = (x[new] for x in (token, bits, k, n, place, ids, line, asks, wide))
+        index = n - -(-2 * percent * n // (100 + percent)) + 1  # of the smaller set fewer tokens are enough
+        when = np.empty(len(n), np.int64)
+        order = np.lexsort((line, ids))
+        when[order] = np.cumsum(np.r_[0, (np.diff(ids[order]) != 0) | (np.diff(line[order]) != 0)])
         # Rows are sorted by token and size: each is held against those after it with the same token and fitting sizes.
-        end = np.searchsorted(token, token, side="right")
-        top = n * 100 // percent
-        limit = np.minimum(end, np.arange(len(n)) + 1)
-        several = np.flatnonzero(end > np.arange(len(n)) + 1)
-        span = np.int64(n.max() * 2 + 2 if len(n) else 1)
+        here = np.arange(len(n))
         group = np.cumsum(np.r_[True, token[1:] != token[:-1]]).astype(np.int64)
-        place_in = group * span + n
-        limit[several] = np.searchsorted(place_in, group[several] * span + np.minimum(top[several], span - 1), side="right")
-        more = np.maximum(0, limit - np.arange(len(n)) - 1)
-        found, begin = [np.zeros((0, 2), np.int64)], 0
-        total = np.cumsum(more)
-        while begin < len(more):
+        span = 2 * n.max() + 2
+        limit = np.searchsorted(group * span + n, group * span + np.minimum(n * 100 // percent, span - 1), side="right")
+        count = np.maximum(0, limit - here - 1)
+        total, found, begin = np.cumsum(count), [np.zeros((0, 6), np.int64)], 0
+        while begin < len(count):
             stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + PAIRS_AT_ONCE, side="right")))
-            m = more[begin:stop]
-            x = np.repeat(np.arange(begin, stop), m)
+            m = count[begin:stop]
+            x = np.repeat(here[begin:stop], m)
             y = x + 1 + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            fits = np.minimum(n[x] - place[x], n[y] - place[y]) >= need  # the shared token and those behind it
-            x, y = x[fits], y[fits]
-            if len(x):
-                found.append(np.unique(np.stack([np.minimum(k[x], k[y]), np.maximum(k[x], k[y])], 1), axis=0))
+            both = n[x] + n[y]
+            need = -(-percent * both // (100 + percent))
+            fits = (place[x] < index[x]) & (np.minimum(n[x] - place[x], n[y] - place[y]) >= need)  # the shared token and those behind it
+            x, y, room = x[fits], y[fits], (both - 2 * need)[fits]
+            high, folded = wide[x] ^ wide[y], bits[x] ^ bits[y]
+            split = np.minimum(n[x], n[y]) >= WIDE_FROM
+            apart = np.bitwise_count(np.where(split, folded ^ high, folded).view(np.uint64)).astype(np.int64) + np.where(split, np.bitwise_count(high.view(np.uint64)), 0)
+            fits = apart <= room
+            x, y, apart = x[fits], y[fits], apart[fits]
+            tied = when[x] == when[y]  # the order of rows with one id is only known later on
+            x, y, apart = np.r_[np.where(when[x] <= when[y], x, y), y[tied]], np.r_[np.where(when[x] <= when[y], y, x), x[tied]], np.r_[apart, apart[tied]]
+            if every:
+                x, y, apart = x[asks[y]], y[asks[y]], apart[asks[y]]
+                more = np.zeros(len(x), bool)
+            else:
+                order = np.lexsort((when[x], apart, y))
+                x, y, apart = x[order], y[order], apart[order]
+                first = np.r_[True, y[1:] != y[:-1]] if len(y) else np.zeros(0, bool)
+                more = np.diff(np.r_[np.flatnonzero(first), len(y)]) > 1
+                x, y, apart = x[first], y[first], apart[first]
+            found.append(np.stack([bits[x], k[x], bits[y], k[y], apart, more], 1))
             begin = stop
         pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+        return pa.table([pa.array(pairs[:, i]) for i in range(5)] + [pa.array(pairs[:, 5] > 0)], ["xb", "xk", "yb", "yk", "apart", "more"])
 
-    packed = lines.where("prefix IS NOT NULL").select("k1", "n", "prefix").mapInArrow(emit, "part int, data binary")
-    return packed.groupBy("part").applyInArrow(join, "x long, y long")
+    packed = lines.where("prefix IS NOT NULL").select("k", "bits", "wide", "n", "id", "line", "asks", "prefix").mapInArrow(emit, "part int, data binary")
+    return packed.groupBy("part").applyInArrow(join, "xb long, xk long, yb long, yk long, apart long, more boolean")
 
 
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -169,33 +227,63 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Batches):
         for b in batches:
-            names, sets = [], []
-            for t, lines in zip(lower_bytes(b.column("text")), b.column("wanted").to_pylist()):
+            names, lines = [], []
+            for t, some in zip(lower_bytes(b.column("text")), b.column("wanted").to_pylist()):
                 own = t.split(b"\n")
-                for x in lines:
+                for x in some:
                     names.append(x["class"])
-                    sets.append(np.unique(Words([own[x["line"]]], 1, 1).hashes).astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sets, pa.binary())], ["id", "shingles"])
+                    lines.append(own[x["line"]])
+            sets = []
+            for _, part in slices(lines):
+                w = Words(part, 1, 1)
+                bounds = [*w.first.tolist(), len(w.starts)]
+                sets += [np.unique(w.hashes[i:j]).astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
+
+    return docs.join(places, ["id", "key"]).select("text", "wanted").mapInArrow(run, "id long, shingles binary")
+
+
+#: Where so many sets at most are left to be searched again, only their tokens are dealt once more.
+TOKENS_OF = 100_000
+
 
-    return docs.join(places, ["id", "key"]).select("text", "wanted").mapInArrow(run, "id string, shingles binary").dropDuplicates(["id"])
+def similar_later(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
+    """(k1, k2, bits, k) of later sets which a confirmed pair shows to be similar to an earlier one."""
+    named = pairs.select(F.col("xb").alias("bits"), F.col("xk").alias("k")).union(pairs.select("yb", "yk")).distinct()
+    known = lines.join(named, ["bits", "k"], "left_semi").groupBy("bits", "k", "k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first"))
+    known = materialise(known.withColumn("class", F.monotonically_increasing_id()), f"{name}-classes")
+    sets = materialise(token_sets(docs, known.select("class", "first.*")), f"{name}-sets")
+    one = known.select(F.col("bits").alias("xb"), F.col("k").alias("xk"), F.col("class").alias("a"), F.col("first").alias("first_a"))
+    two = known.select(F.col("bits").alias("yb"), F.col("k").alias("yk"), F.col("class").alias("b"), F.col("first").alias("first_b"))
+    spread = pairs.join(one, ["xb", "xk"]).join(two, ["yb", "yk"]).where("a <> b AND first_a < first_b").select("a", "b")
+    later = confirm(spread, sets, percent).select(F.col("b").alias("class")).distinct()
+    return materialise(known.join(later, "class").select("k1", "k2", "bits", "k"), f"{name}-later")
 
 
 def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
     """(id, key, gone): the numbers of the lines to remove, of documents (id, key, text) that have any."""
-    lines = materialise(lines_of(docs, token_counts(docs), percent, least), "lines")
+    lines = materialise(lines_of(docs, rarities(token_counts(docs)), percent, least), "lines").withColumn("k", F.col("k1").bitwiseAND(0x7FFFFFFF)).withColumn("asks", F.lit(False))
+    parts = 4 * shuffle_partitions(docs.sparkSession)
+    # Of each later set the most promising pair is tried first.
+    tried = F.min_by(F.struct("xb", "xk"), F.struct("apart", "xb", "xk"))
+    best = candidates(lines, percent, parts).groupBy("yb", "yk").agg(tried.alias("x"), (F.max("more") | (F.min(F.struct("xb", "xk")) < F.max(F.struct("xb", "xk")))).alias("more"))
+    pairs = materialise(best.select("x.*", "yb", "yk", "more"), "line-pairs")
+    later = similar_later(docs, lines, pairs, percent, "line")
+    # Sets with untried earlier ones, whose tried one was not similar, are held against all.
+    left = pairs.where("more").select(F.col("yb").alias("bits"), F.col("yk").alias("k"))
+    left = materialise(left.join(later, ["bits", "k"], "left_anti"), "lines-left")
+    n = left.count()
+    if n:
+        again = lines.drop("asks").join(left.withColumn("asks", F.lit(True)), ["bits", "k"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        tokens = None
+        if n <= TOKENS_OF:
+            packed = again.where("asks AND prefix IS NOT NULL").select("prefix").distinct().toArrow().column("prefix").to_pylist()
+            tokens = np.unique(np.frombuffer(b"".join(packed), "<u8"))
+        rest = candidates(again, percent, parts, tokens, every=True).select("xb", "xk", "yb", "yk").distinct()
+        later = later.union(similar_later(docs, lines, materialise(rest.join(pairs, ["xb", "xk", "yb", "yk"], "left_anti"), "line-pairs-left"), percent, "line-left"))
     classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first"))
-    pairs = candidates(lines, percent, 4 * shuffle_partitions(docs.sparkSession)).distinct()
-    pairs = materialise(pairs, "line-pairs")
-    named = pairs.select(F.col("x").alias("k1")).union(pairs.select(F.col("y").alias("k1"))).distinct()
-    known = materialise(lines.join(named, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first")).withColumn("class", F.concat_ws(":", "k1", "k2")), "line-classes")
-    sets = materialise(token_sets(docs, known.select("class", "first.*")), "line-sets")
-    one = known.select(F.col("k1").alias("x"), F.col("class").alias("a"), F.col("first").alias("first_a"))
-    two = known.select(F.col("k1").alias("y"), F.col("class").alias("b"), F.col("first").alias("first_b"))
-    spread = pairs.join(one, "x").join(two, "y").where("a <> b").select("a", "b")
-    links = confirm(spread, sets, percent, "string")
-    later = links.join(one, "a").join(two, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("class")).distinct()
-    later = later.select(F.split("class", ":")[0].cast("long").alias("k1"), F.split("class", ":")[1].cast("long").alias("k2"), F.lit(True).alias("later"))
-    judged = lines.select("k1", "k2", "id", "key", "line").join(classes.join(later, ["k1", "k2"], "left"), ["k1", "k2"])
+    gone_classes = later.select("k1", "k2").distinct().withColumn("later", F.lit(True))
+    judged = lines.select("k1", "k2", "id", "key", "line").join(classes.join(gone_classes, ["k1", "k2"], "left"), ["k1", "k2"])
     gone = judged.where(F.coalesce("later", F.lit(False)) | (F.struct("id", "line", "key") != F.col("first")))
     return gone.groupBy("id", "key").agg(F.collect_list("line").alias("gone"))
 
