@@ -18,7 +18,7 @@ LEVELS = 3
 
 def attributes(text: Column) -> Column:
     """map<string,array<string>> of column 9; values are cut at commas and percent escapes decoded. GTF's key "value" form is read too."""
-    pairs = F.filter(F.transform(F.split(text, ";"), F.trim), lambda x: x != "")
+    pairs = F.filter(F.transform(F.split(text, ";"), lambda x: F.trim(x)), lambda x: x != "")
     decode = lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v)
 
     def pair(x: Column) -> Column:
