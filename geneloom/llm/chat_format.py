@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare
+from .common import Batches, prepare, tidied
 
 Turns = list[tuple[str, str]]
 
@@ -94,6 +94,7 @@ def format_conversations(rows: DataFrame, template: Callable[[Turns], str] = mar
     """
     prepare(rows.sparkSession)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             made = []

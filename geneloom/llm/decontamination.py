@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, added, prepare, texts_of
+from .common import Batches, added, prepare, texts_of, tidied
 from .substring_dedup import Words, slices
 
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -138,6 +138,7 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFram
 def seed_counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
     """How often each seed is in the whole corpus: at most as many rows as there are seeds come back."""
 
+    @tidied
     def run(batches: Batches):
         total = np.zeros(len(items.seeds), np.int64)
         for b in batches:
@@ -165,6 +166,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed_word
         items = Items(sorted((r["id"], r["text"]) for r in block.collect()), seed_words)
         items.keep_rare(seed_counts(docs, items, text_col), rare_share)
 
+        @tidied
         def run(batches: Batches, items=items, more=k > 0):
             for b in batches:
                 found = items.matches([normal(t) for t in texts_of(b.column(text_col))], least)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Batches, materialise, prepare
+from .common import Batches, materialise, prepare, tidied
 from .substring_dedup import Words, mix, slices, texts_as_bytes
 
 HASHES, ROWS, SKETCH_BITS = 240, 6, 512
@@ -46,7 +46,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text (A-Z lower-cased); shorter texts are one shingle, empty ones none."""
     out = []
     for _, part in slices([t.lower() for t in texts]):
-        w = Words(part, max(words, 1), 1)
+        w = Words(part)
         runs = w.runs(words) if len(w.starts) else w.hashes
         bounds = [*w.first.tolist(), len(w.starts)]
         for a, b in zip(bounds, bounds[1:]):
@@ -88,6 +88,7 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
 def features(docs: DataFrame, words: int) -> DataFrame:
     """(id, n, f1, f2, bands, sketch) per row with an id; the sums f1 and f2 of mixed hashes stand for the set."""
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             rows = []
@@ -109,6 +110,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts_as_bytes(b.column("text")), words)]

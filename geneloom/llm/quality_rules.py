@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Batches, added, as_text, bounded_sample, prepare, texts_of
+from .common import Batches, added, as_text, bounded_sample, prepare, texts_of, tidied
 
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -143,11 +143,13 @@ def judge(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_co
     rules = RULES if counts else (*BASE_RULES, *RULES)
     cascade = plan(rules, measure(docs, rules, text_col, sample_rows))
 
+    @tidied
     def verdicts(batches: Batches):
         for b in batches:
             kept = [first_rejection(Features(t), cascade) is None for t in texts_of(b.column(text_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], [*b.schema.names, "kept"])
 
+    @tidied
     def all_counts(batches: Batches):
         for b in batches:
             rows = []

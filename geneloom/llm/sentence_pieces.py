@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Batches, added, as_text, prepare, sha256_hex, texts_of
+from .common import Batches, added, as_text, prepare, sha256_hex, texts_of, tidied
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
@@ -55,7 +55,7 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces, scores and types of a model file."""
 
-    LIMIT, SHORT = 150_000, 48
+    LIMIT, SHORT = 100_000, 48
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -171,6 +171,7 @@ def encode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     prepare(docs.sparkSession)
     docs = docs.drop(ids_col)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             ids = model(model_path).encode(texts_of(b.column(text_col)))
@@ -186,6 +187,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
     prepare(rows.sparkSession)
     rows = rows.drop(text_col)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             texts = [model(model_path).decode(np.array(x or [], np.int32)) for x in b.column(ids_col).to_pylist()]
@@ -197,6 +199,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_ids, ids_sha256 (little-endian int32), decoded_sha256, round_trip (the ids decode to the text)."""
 
+    @tidied
     def run(batches: Batches):
         pieces = model(model_path)
         for b in batches:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_sample, prepare, shuffle_partitions
+from .common import Batches, bounded_sample, prepare, shuffle_partitions, tidied
 
 HOT_WINDOWS = HOT_PREFIXES = 20_000
 SLICE_BYTES = 1 << 20
@@ -53,25 +53,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: byte spans, hashes, and for each window the place of its anchor."""
+    """The words of some texts: byte spans, hashes, and for each window the place of its anchor.
 
-    def __init__(self, texts: list[bytes], window: int, prefix: int) -> None:
+    Without a window there are spans and hashes only.
+    """
+
+    def __init__(self, texts: list[bytes], window: int = 0, prefix: int = 0) -> None:
         self.buffer = b"\n".join(texts)
         data = np.frombuffer(self.buffer, np.uint8)
         word = np.r_[False, ~IS_SPACE[data], False]
         edge = np.flatnonzero(word[1:] != word[:-1])
         self.starts, self.ends = edge[::2], edge[1::2]
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        self.doc = np.searchsorted(np.cumsum(lengths), self.starts, side="right")
-        self.first = np.searchsorted(self.doc, np.arange(len(texts)))  # each text's first word
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         n = len(self.starts)
+        self.first = np.searchsorted(self.starts, np.r_[0, ends[:-1]])[: len(texts)]  # each text's first word
         if n == 0:
-            self.hashes = self.windows = self.anchor = self.grams = np.zeros(0, np.int64)
+            self.hashes = self.windows = self.anchor = self.grams = self.doc = np.zeros(0, np.int64)
             return
         size = 1 << max(16, len(data).bit_length())
         up, down = powers(size)
         sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)]
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        if not window:
+            return
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(np.r_[self.first, n]))
         self.grams = self.runs(prefix)
         last = max(0, n - window + 1)
         least, at = self.grams[:last].copy(), np.arange(last)
@@ -107,8 +112,8 @@ def slices(texts: list[bytes]):
         yield begin, texts[begin:]
 
 
-def pack(value: object) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(pickle.dumps(value, protocol=5))
+def pack(value: object, level: int = 6) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(pickle.dumps(value, protocol=5))
 
 
 def unpack(value: bytes) -> object:
@@ -169,6 +174,7 @@ def plan_hot(base: DataFrame, plan: Plan, sample_docs: int, share: float) -> Non
     if not hot:
         return
 
+    @tidied
     def least_ids(batches: Batches):
         ids: dict[bytes, int] = {}
         for b in batches:
@@ -189,6 +195,7 @@ def anchors(base: DataFrame, plan: Plan) -> DataFrame:
     """(id, key, at): anchors (by word number) which another document may have too."""
     width = np.uint64(plan.parts)
 
+    @tidied
     def emit(batches: Batches):
         for b in batches:
             ids, keys, texts = b.column("id").to_pylist(), b.column("key").to_numpy(), texts_as_bytes(b.column("text"))
@@ -255,6 +262,7 @@ def repeats(candidates: DataFrame, plan: Plan) -> DataFrame:
     """(id, key, windows): first words of windows that start in a document with a smaller id, hot windows left out."""
     length = plan.window
 
+    @tidied
     def emit(batches: Batches):
         for b in batches:
             ids, keys = b.column("id").to_pylist(), b.column("key").to_numpy()
@@ -357,6 +365,7 @@ def dedup(docs: DataFrame, window: int = 13, prefix: int = 5, id_col: str = "doc
     places = anchors(base, plan).groupBy("id", "key").agg(F.collect_list("at").alias("at"))
     flagged = repeats(dealt.join(places, ["id", "key"], "left"), plan).groupBy("id", "key").agg(F.collect_list("windows").alias("windows"))
 
+    @tidied
     def apply(batches: Batches):
         for b in batches:
             ids, texts, windows = b.column("id").to_pylist(), texts_as_bytes(b.column("text")), b.column("windows").to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Batches, as_text, prepare, texts_of
+from .common import Batches, as_text, prepare, texts_of, tidied
 
 #: Pre-tokens of the byte-level BPE family (fixed value).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,7 +82,7 @@ class RankMerger:
 class TokenCounter:
     """Counts tokens of whole texts; keeps the counts of the pre-tokens seen, of short ones and up to a bounded number."""
 
-    LIMIT, SHORT = 300_000, 64
+    LIMIT, SHORT = 200_000, 64
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -133,6 +133,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """
     prepare(docs.sparkSession)
 
+    @tidied
     def run(batches: Batches):
         counts = counter(tokenizer_path)
         for b in batches:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, shared_dir, shuffle_partitions
+from .common import Batches, prepare, shared_dir, shuffle_partitions, tidied
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Custom header: a revisit's record has no payload, its length is kept here.
@@ -131,6 +131,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record, in each file's order; a response's digest and length are computed from its payload."""
     prepare(spark)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
@@ -201,6 +202,7 @@ def merge_index(index: DataFrame, parts: int | None = None) -> DataFrame:
     bounds = splitters(index, parts)
     names = [f.name for f in INDEX_ARROW]
 
+    @tidied
     def slices(batches: Batches):
         for b in batches:
             keys = zip(b.column("url_key").to_pylist(), b.column("timestamp").to_pylist(), b.column("page_id").to_pylist())
