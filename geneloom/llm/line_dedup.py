@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Batches, materialise, prepare, shuffle_partitions
+from .common import Batches, materialise, prepare, shuffle_partitions, tidied
 from .near_dedup import BROADCAST_IDS, confirm
 from .substring_dedup import Words, mix, pack, slices, unpack
 
@@ -55,7 +54,7 @@ class Lines:
     """
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray) -> None:
-        w = Words(texts, 1, 1)
+        w = Words(texts)
         breaks = np.flatnonzero(np.frombuffer(w.buffer, np.uint8) == 10)
         line = np.searchsorted(breaks, w.starts)
         self.first_line = np.r_[0, np.cumsum([t.count(b"\n") + 1 for t in texts])]  # of each text
@@ -79,11 +78,12 @@ def prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 def token_counts(docs: DataFrame) -> np.ndarray:
     """Tokens of the whole corpus by bucket: at most BUCKETS rows come back."""
 
+    @tidied
     def run(batches: Batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
             for _, part in slices(lower_bytes(b.column(0))):
-                h = Words(part, 1, 1).hashes
+                h = Words(part).hashes
                 total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
@@ -100,12 +100,14 @@ def rarities(counts: np.ndarray) -> np.ndarray:
 
 
 def lines_of(docs: DataFrame, rarity: np.ndarray, percent: int, least: int) -> DataFrame:
-    """(k1, k2, bits, wide, n, id, key, line, prefix) per line of at least `least` distinct words.
+    """(k1, k2, bits, wide, n, id, key, line, again, prefix) per line of at least `least` distinct words.
 
-    k1 and k2 are two hashes of the word set, bits its parity bitmap and wide the upper half of the unfolded one; the prefix (packed uint64, rarest first) is only
+    k1 and k2 are two hashes of the word set, bits its parity bitmap and wide the upper half of the unfolded one; again
+    tells that the document has an earlier line with the set; the prefix (packed uint64, rarest first) is only
     given for a set's first line in a batch.
     """
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             ids, keys = b.column("id").to_numpy(), b.column("key").to_numpy()
@@ -127,12 +129,16 @@ def lines_of(docs: DataFrame, rarity: np.ndarray, percent: int, least: int) -> D
                     prefixes.append(None if (a, z) in seen else raw[8 * c : 8 * (c + s)])
                     seen.add((a, z))
                 doc, line = doc[long], line[long]
+                a, z = k1[long], k2[long]
+                order = np.lexsort((line, z, a, doc))
+                again = np.zeros(len(doc), bool)
+                again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (a[order[1:]] == a[order[:-1]]) & (z[order[1:]] == z[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k1[long]), pa.array(k2[long]), pa.array(bits[long]), pa.array(wide[long]), pa.array(n[long]), pa.array(ids[doc + begin]), pa.array(keys[doc + begin]), pa.array((line - x.first_line[doc]).astype(np.int32)), pa.array(prefixes, pa.binary())],
-                    ["k1", "k2", "bits", "wide", "n", "id", "key", "line", "prefix"],
+                    [pa.array(k1[long]), pa.array(k2[long]), pa.array(bits[long]), pa.array(wide[long]), pa.array(n[long]), pa.array(ids[doc + begin]), pa.array(keys[doc + begin]), pa.array((line - x.first_line[doc]).astype(np.int32)), pa.array(again), pa.array(prefixes, pa.binary())],
+                    ["k1", "k2", "bits", "wide", "n", "id", "key", "line", "again", "prefix"],
                 )
 
-    return docs.where("id IS NOT NULL").mapInArrow(run, "k1 long, k2 long, bits long, wide long, n long, id long, key long, line int, prefix binary")
+    return docs.where("id IS NOT NULL").mapInArrow(run, "k1 long, k2 long, bits long, wide long, n long, id long, key long, line int, again boolean, prefix binary")
 
 
 def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray | None = None, every: bool = False) -> DataFrame:
@@ -143,6 +149,7 @@ def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray |
     that ask are given. tokens: only these are dealt. A pair may come several times.
     """
 
+    @tidied
     def emit(batches: Batches):
         for b in gathered(batches, LINES_AT_ONCE):
             prefixes = b.column("prefix").to_pylist()
@@ -161,7 +168,7 @@ def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray |
             for chunk in np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else ():
                 short = (flat[chunk] // np.uint64(parts)).astype(np.uint32)  # pairs are confirmed, so half of a hash is enough
                 r = row[chunk]
-                out.append((int(part[chunk[0]]), pack((short, bits[r], k[r], n[r], place[chunk], np.diff(ids[r], prepend=0), line[r], asks[r], wide[r][n[r] >= WIDE_FROM]))))
+                out.append((int(part[chunk[0]]), pack((short, bits[r], k[r], n[r], place[chunk], np.diff(ids[r], prepend=0), line[r], asks[r], wide[r][n[r] >= WIDE_FROM]), 1)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], ["part", "data"])
 
     def join(chunks: pa.Table) -> pa.Table:
@@ -169,15 +176,16 @@ def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray |
         token, bits, k, n, place, ids, line, asks, some = (np.concatenate([np.cumsum(x[i]) if i == 5 else x[i] for x in held]) for i in range(9))
         wide = np.zeros(len(n), np.int64)
         wide[n >= WIDE_FROM] = some
-        order = np.lexsort((line, ids, k, bits, n, token))
-        token, bits, k, n, place, ids, line, asks, wide = (x[order] for x in (token, bits, k, n.astype(np.int64), place.astype(np.int64), ids, line, asks, wide))
-        new = np.r_[True, (token[1:] != token[:-1]) | (bits[1:] != bits[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])]
-        # a set's copies from other batches go; its first place stays
-        token, bits, k, n, place, ids, line, asks, wide = (x[new] for x in (token, bits, k, n, place, ids, line, asks, wide))
-        index = n - -(-2 * percent * n // (100 + percent)) + 1  # of the smaller set fewer tokens are enough
         when = np.empty(len(n), np.int64)
         order = np.lexsort((line, ids))
         when[order] = np.cumsum(np.r_[0, (np.diff(ids[order]) != 0) | (np.diff(line[order]) != 0)])
+        order = np.lexsort((bits, token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
+        token, bits, k, n, place, when, asks, wide = (x[order] for x in (token, bits, k, n.astype(np.int64), place.astype(np.int64), when, asks, wide))
+        # A set's copies from other batches go, its first place stays. Copies that another set with the same bits parts stay, and do no harm.
+        new = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (bits[1:] != bits[:-1]) | (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+        when = np.minimum.reduceat(when, new)
+        token, bits, k, n, place, asks, wide = (x[new] for x in (token, bits, k, n, place, asks, wide))
+        index = n - -(-2 * percent * n // (100 + percent)) + 1  # of the smaller set fewer tokens are enough
         # Rows are sorted by token and size: each is held against those after it with the same token and fitting sizes.
         here = np.arange(len(n))
         group = np.cumsum(np.r_[True, token[1:] != token[:-1]]).astype(np.int64)
@@ -219,12 +227,18 @@ def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray |
     return packed.groupBy("part").applyInArrow(join, "xb long, xk long, yb long, yk long, apart long, more boolean")
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has at most so many rows; it is a written table, so that counting is cheap."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, shingles): the token sets of the wanted lines (class, id, key, line), under their class."""
     places = wanted.groupBy("id", "key").agg(F.collect_list(F.struct("line", "class")).alias("wanted"))
     if wanted.count() <= BROADCAST_IDS:
         places = F.broadcast(places)
 
+    @tidied
     def run(batches: Batches):
         for b in batches:
             names, lines = [], []
@@ -235,7 +249,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     lines.append(own[x["line"]])
             sets = []
             for _, part in slices(lines):
-                w = Words(part, 1, 1)
+                w = Words(part)
                 bounds = [*w.first.tolist(), len(w.starts)]
                 sets += [np.unique(w.hashes[i:j]).astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
@@ -245,12 +259,14 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 #: Where so many sets at most are left to be searched again, only their tokens are dealt once more.
 TOKENS_OF = 100_000
+#: Tables of so many class rows at most (some 50 bytes each) are broadcast, larger ones are dealt.
+BROADCAST_CLASSES = 300_000
 
 
 def similar_later(docs: DataFrame, lines: DataFrame, pairs: DataFrame, percent: int, name: str) -> DataFrame:
     """(k1, k2, bits, k) of later sets which a confirmed pair shows to be similar to an earlier one."""
-    named = pairs.select(F.col("xb").alias("bits"), F.col("xk").alias("k")).union(pairs.select("yb", "yk")).distinct()
-    known = lines.join(named, ["bits", "k"], "left_semi").groupBy("bits", "k", "k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first"))
+    named = materialise(pairs.select(F.col("xb").alias("bits"), F.col("xk").alias("k")).union(pairs.select("yb", "yk")).distinct(), f"{name}-named")
+    known = lines.where("NOT again").join(sized(named, BROADCAST_CLASSES), ["bits", "k"], "left_semi").groupBy("bits", "k", "k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first"))
     known = materialise(known.withColumn("class", F.monotonically_increasing_id()), f"{name}-classes")
     sets = materialise(token_sets(docs, known.select("class", "first.*")), f"{name}-sets")
     one = known.select(F.col("bits").alias("xb"), F.col("k").alias("xk"), F.col("class").alias("a"), F.col("first").alias("first_a"))
@@ -274,17 +290,18 @@ def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
     left = materialise(left.join(later, ["bits", "k"], "left_anti"), "lines-left")
     n = left.count()
     if n:
-        again = lines.drop("asks").join(left.withColumn("asks", F.lit(True)), ["bits", "k"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        again = lines.drop("asks").join(sized(left, TOKENS_OF).withColumn("asks", F.lit(True)), ["bits", "k"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
         tokens = None
         if n <= TOKENS_OF:
             packed = again.where("asks AND prefix IS NOT NULL").select("prefix").distinct().toArrow().column("prefix").to_pylist()
             tokens = np.unique(np.frombuffer(b"".join(packed), "<u8"))
         rest = candidates(again, percent, parts, tokens, every=True).select("xb", "xk", "yb", "yk").distinct()
         later = later.union(similar_later(docs, lines, materialise(rest.join(pairs, ["xb", "xk", "yb", "yk"], "left_anti"), "line-pairs-left"), percent, "line-left"))
-    classes = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("first"))
+    # A line goes if its set is a later one, or if it isn't the first line with its set: in its document or in the corpus.
+    classes = lines.groupBy("k1", "k2").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("size"))
     gone_classes = later.select("k1", "k2").distinct().withColumn("later", F.lit(True))
-    judged = lines.select("k1", "k2", "id", "key", "line").join(classes.join(gone_classes, ["k1", "k2"], "left"), ["k1", "k2"])
-    gone = judged.where(F.coalesce("later", F.lit(False)) | (F.struct("id", "line", "key") != F.col("first")))
+    touched = materialise(classes.join(gone_classes, ["k1", "k2"], "left").where("size > 1 OR later").select("k1", "k2", "first_id", F.coalesce("later", F.lit(False)).alias("later")), "classes-touched")
+    gone = lines.select("k1", "k2", "id", "key", "line", "again").join(sized(touched, BROADCAST_CLASSES), ["k1", "k2"]).where("later OR again OR id > first_id")
     return gone.groupBy("id", "key").agg(F.collect_list("line").alias("gone"))
 
 
@@ -292,8 +309,9 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 5, id_col: str = "doc
     """All columns of docs, with text_col replaced by the kept lines, and n_lines, removed (sorted line numbers).
 
     Lines are cut at \\n. A line of at least `least` distinct words (lower-cased, parts between ASCII white space) is
-    removed if an earlier line of the corpus, in order of id, line number and text, has a set of words with
-    100 * intersection >= percent * union, whether that earlier line stays or not. Shorter lines are never removed and
+    removed if an earlier line of the corpus, in order of id and line number, has a set of words with
+    100 * intersection >= percent * union, whether that earlier line stays or not; equal sets in rows of one id are only
+    compared within their row. Shorter lines are never removed and
     remove nothing. n_lines counts lines with a word. A null text stays null and has no lines. Rows with a null id are
     kept as they are and remove nothing. Repeated rows are one document: what goes from one goes from all. Existing columns
     n_lines and removed are replaced.
@@ -305,27 +323,21 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 5, id_col: str = "doc
     gone = removals(plain, percent, least)
     names = docs.columns
 
-    def squeeze(batches: Batches):  # texts go through the shuffle compressed
-        for b in batches:
-            texts = [None if x is None else zstandard.ZstdCompressor(3).compress(x.encode()) for x in b.column(text_col).to_pylist()]
-            yield b.set_column(b.schema.get_field_index(text_col), text_col, pa.array(texts, pa.binary()))
-
+    @tidied
     def apply(batches: Batches):
         for b in batches:
             texts, counts, removed = [], [], []
-            for x, gone in zip(b.column(text_col).to_pylist(), b.column("gone").to_pylist()):
+            for x, gone in zip(b.column(text_col).cast(pa.binary()).to_pylist(), b.column("gone").to_pylist()):
                 if x is None:
                     texts.append(None), counts.append(0), removed.append([])
                     continue
-                lines = zstandard.ZstdDecompressor().decompress(x).split(b"\n")
+                lines = x.split(b"\n")
                 drop = set(gone or ())
-                texts.append(b"\n".join([t for i, t in enumerate(lines) if i not in drop]).decode() if drop else b"\n".join(lines).decode())
+                texts.append(b"\n".join([t for i, t in enumerate(lines) if i not in drop]) if drop else x)
                 counts.append(sum(1 for t in lines if t and not t.isspace())), removed.append(sorted(drop))
-            columns = [pa.array(texts, pa.string()) if n == text_col else b.column(n) for n in names]
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == text_col else b.column(n) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.int32()))], [*names, "n_lines", "removed"])
 
-    binary = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in keyed.schema.fields])
-    dealt = keyed.mapInArrow(squeeze, binary)
-    joined = dealt.join(gone, (dealt["line dedup id"] == gone["id"]) & (dealt["line dedup key"] == gone["key"]), "left").select(*(dealt[n] for n in dealt.columns), gone["gone"])
+    joined = keyed.join(gone, (keyed["line dedup id"] == gone["id"]) & (keyed["line dedup key"] == gone["key"]), "left").select(*(keyed[n] for n in names), gone["gone"])
     out = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
     return joined.mapInArrow(apply, out)

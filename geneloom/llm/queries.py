@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontamination, line_dedup, near_dedup, quality_rules, sentence_pieces, substring_dedup, token_counts, url_filter, warc
-from .common import Batches
+from .common import Batches, tidied
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +65,43 @@ FROM judged
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    numbers = F.array_join(F.transform("removed", lambda n: n.cast("string")), ",")
+    return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), numbers.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM docs
+), sets AS (
+  SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS tokens FROM lines
+), classes AS (
+  SELECT tokens, len(tokens) AS n, min({'doc_id': doc_id, 'line_no': line_no}) AS first, row_number() OVER (ORDER BY tokens) AS class
+  FROM sets WHERE len(tokens) >= 5 GROUP BY tokens
+), flat AS (
+  SELECT class, n, first, unnest(tokens) AS token FROM classes
+), ranked AS (
+  SELECT class, n, first, token, row_number() OVER (PARTITION BY class ORDER BY often, token) AS place
+  FROM flat JOIN (SELECT token, count(*) AS often FROM flat GROUP BY token) USING (token)
+), prefixes AS (
+  SELECT * FROM ranked WHERE place <= n - ceil(n * 80 / 100.0) + 1
+), pairs AS (
+  SELECT DISTINCT a.class AS a, b.class AS b FROM prefixes AS a JOIN prefixes AS b ON a.token = b.token AND a.first < b.first AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), later AS (
+  SELECT DISTINCT b AS class FROM pairs JOIN classes AS x ON x.class = a JOIN classes AS y ON y.class = b
+  WHERE 100 * len(list_intersect(x.tokens, y.tokens)) >= 80 * (x.n + y.n - len(list_intersect(x.tokens, y.tokens)))
+), gone AS (
+  SELECT s.doc_id, s.line_no FROM sets AS s JOIN classes AS c ON c.tokens = s.tokens LEFT JOIN later AS l ON l.class = c.class
+  WHERE l.class IS NOT NULL OR c.first <> {'doc_id': s.doc_id, 'line_no': s.line_no}
+), judged AS (
+  SELECT l.*, g.line_no IS NOT NULL AS gone, regexp_matches(l.line, '[^\x20\x09-\x0D]') AS worded FROM lines AS l LEFT JOIN gone AS g ON g.doc_id = l.doc_id AND g.line_no = l.line_no
+)
+SELECT doc_id, count(*) FILTER (worded) AS n_lines, count(*) FILTER (gone) AS n_removed,
+       coalesce(string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY line_no) FILTER (gone), '') AS removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
 
 
 # Substring dedup.
@@ -141,6 +177,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
 
+    @tidied
     def read_back(batches: Batches):
         for b in batches:
             out = []
@@ -178,6 +215,34 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 1 THEN words ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM docs
+), flat AS (
+  SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM sets
+), ranked AS (
+  SELECT doc_id, n, shingle, row_number() OVER (PARTITION BY doc_id ORDER BY often, shingle) AS place
+  FROM flat JOIN (SELECT shingle, count(*) AS often FROM flat GROUP BY shingle) USING (shingle)
+), prefixes AS (
+  SELECT * FROM ranked WHERE place <= n - ceil(n * 80 / 100.0) + 1
+), pairs AS (
+  SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefixes AS a JOIN prefixes AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+), links AS (
+  SELECT a, b FROM pairs JOIN sets AS x ON x.doc_id = a JOIN sets AS y ON y.doc_id = b
+  WHERE 100 * len(list_intersect(x.shingles, y.shingles)) >= 80 * (len(x.shingles) + len(y.shingles) - len(list_intersect(x.shingles, y.shingles)))
+), both_ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, w.b FROM reached AS r JOIN both_ways AS w ON w.a = r.b
+), components AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sets JOIN components USING (doc_id)
+"""
+
+
 # Token counts.
 
 
@@ -222,11 +287,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
-    "op6_sentencepiece": op6_sentencepiece,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_url_filters": op10_url_filters,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_warc": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op10_url_filters": op10_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op5_chat_formatting": OP5_SQL,
+    "op7_near_dedup": OP7_SQL,
+    "op10_url_filters": op10_sql(),
+}

@@ -1,5 +1,7 @@
 from geneloom.llm import line_dedup as L
+from geneloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.fixtures import rows_by_id, table, texts
+from tests.oracle import DATA, connect, same
 
 
 def brute(rows, percent=80, least=5):
@@ -67,3 +69,7 @@ def test_order_of_tokens_is_global():
 
 def test_empty_table(spark):
     assert L.dedup(table(spark, [])).collect() == []
+
+
+def test_query_matches_sql(spark):
+    same(QUERIES["op2_line_dedup"](spark, DATA), connect(), ORACLE_SQL["op2_line_dedup"])

@@ -5,7 +5,9 @@ import numpy as np
 import pytest
 
 from geneloom.llm import near_dedup as N
+from geneloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.fixtures import rows_by_id, table, texts, words
+from tests.oracle import DATA, connect, same
 
 
 def shingles(text, n):
@@ -96,3 +98,7 @@ def test_empty_table(spark):
 
 def test_only_unlike_documents(spark):
     check(spark, [(i, " ".join(f"{i}x{k}" for k in range(10))) for i in range(5)])
+
+
+def test_query_matches_sql(spark):
+    same(QUERIES["op7_near_dedup"](spark, DATA), connect(), ORACLE_SQL["op7_near_dedup"])
