@@ -125,9 +125,9 @@ def positional_identity(spark: SparkSession, d: str) -> DataFrame:
     return name_pairs(spark, d).select("i", "j", C.aligned_identity(F.col("x"), F.col("y")).alias("s")).select("i", "j", "s.*")
 
 
-@query("identity_filter", f"SELECT * FROM ({POSITIONAL_SQL}) WHERE identity >= 0.9")
+@query("identity_filter", f"SELECT * FROM ({POSITIONAL_SQL}) WHERE identity >= 0.8")
 def identity_filter(spark: SparkSession, d: str) -> DataFrame:
-    return positional_identity(spark, d).where("identity >= 0.9")
+    return positional_identity(spark, d).where("identity >= 0.8")
 
 
 # Joins.
@@ -295,11 +295,11 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "function_grouping",
-    "SELECT p_type AS function, min(p_partkey) AS function_ord, list(p_name ORDER BY p_partkey) AS genes FROM part GROUP BY p_type",
+    "SELECT p_type AS function, min(p_partkey) AS function_ord, string_agg(p_name, '|' ORDER BY p_partkey) AS genes FROM part GROUP BY p_type",
 )
 def function_grouping(spark: SparkSession, d: str) -> DataFrame:
     rows = t(spark, d, "part").groupBy("p_type").agg(F.min("p_partkey").alias("function_ord"), F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("g"))
-    return rows.select(F.col("p_type").alias("function"), "function_ord", F.transform("g", lambda x: x["p_name"]).alias("genes"))
+    return rows.select(F.col("p_type").alias("function"), "function_ord", F.array_join(F.transform("g", lambda x: x["p_name"]), "|").alias("genes"))
 
 
 @query(
@@ -452,9 +452,9 @@ def dedup_by_key(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
 
 
-@query("set_difference", "SELECT DISTINCT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@query("set_difference", "SELECT DISTINCT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(t(spark, d, "lineitem").where("l_quantity > 30").select("l_partkey"))
+    return t(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(t(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.05").select("l_partkey"))
 
 
 @query("append_clusters", "SELECT n_name AS name, n_nationkey AS place FROM nation UNION ALL SELECT r_name, r_regionkey + 25 FROM region")

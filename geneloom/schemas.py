@@ -13,7 +13,7 @@ CLUSTERS = "cluster_id string, cluster_ord int, name string, source_path string"
 LOCI = "locus_id string, cluster_id string, locus_ord int, name string, start int, end int"
 GENES = "gene_id string, locus_id string, cluster_id string, gene_ord int, label string, names map<string,string>, start int, end int, strand tinyint, sequence string, translation string"
 LINKS = "link_id string, alignment_id string, link_ord int, query_gene_id string, target_gene_id string, identity double, similarity double"
-ALIGNMENTS = "alignment_id string, alignment_ord int, query_cluster_id string, target_cluster_id string"
+ALIGNMENTS = "alignment_id string, alignment_ord long, query_cluster_id string, target_cluster_id string"
 GROUPS = "group_id string, group_ord int, label string, hidden boolean, colour string"
 GROUP_MEMBERS = "group_id string, gene_id string"
 

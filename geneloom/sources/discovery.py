@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 # File name endings by format.
 FASTA_SUFFIXES = (".fa", ".fsa", ".fna", ".fasta", ".faa")
@@ -43,3 +45,13 @@ def find_fasta(gff_path: str) -> str | None:
     """The sequences that belong to a GFF file: same stem, the first ending of FASTA_SUFFIXES there is."""
     base = os.path.splitext(gff_path)[0]
     return next((base + s for s in FASTA_SUFFIXES if os.path.exists(base + s)), None)
+
+
+def plain_path(path: str) -> str:
+    """A path without scheme and escapes, as a key: Spark gives the paths of files as URIs."""
+    return unquote(re.sub(r"^[a-z]+:/+", "/", path)) if re.match(r"[a-z]+:/", path) else path
+
+
+def escaped_path(path: str) -> str:
+    """A literal path: characters that mean a pattern to Spark are escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..schemas import RECORDS
-from .discovery import stem
+from .discovery import escaped_path, plain_path, stem
 
 QUALIFIER = re.compile(r"/([A-Za-z0-9_.-]+)(?:=(.*))?$", re.S)
 
@@ -109,7 +108,9 @@ def read_genbank(spark: SparkSession, paths: list[str], ordinals: list[int] | No
     """
     from ..plans.arrow import arrow_schema
 
-    place = {_plain(p): (o, p) for p, o in zip(paths, ordinals or range(len(paths)))}
+    place: dict[str, list[tuple[int, str]]] = {}  # a file may be given more than once
+    for p, o in zip(paths, ordinals or range(len(paths))):
+        place.setdefault(plain_path(p), []).append((o, p))
     schema = StructType.fromDDL(RECORDS)
     arrow = arrow_schema(schema)
 
@@ -117,19 +118,9 @@ def read_genbank(spark: SparkSession, paths: list[str], ordinals: list[int] | No
         for b in batches:
             rows = []
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                order, given = place[_plain(path)]
                 for k, r in enumerate(parse_records(data.decode("utf-8", "replace"))):
-                    rows.append({"cluster_ord": order, "cluster_name": stem(given), "source_path": given, "record_ord": k, **r})
+                    for order, given in place[plain_path(path)]:
+                        rows.append({"cluster_ord": order, "cluster_name": stem(given), "source_path": given, "record_ord": k, **r})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return spark.read.format("binaryFile").load([_escaped(p) for p in paths]).select("path", "content").mapInArrow(run, schema)
-
-
-def _plain(path: str) -> str:
-    """A path without scheme and escapes, as a key."""
-    return unquote(re.sub(r"^[a-z]+:/+", "/", path)) if "://" in path or path.startswith("file:") else path
-
-
-def _escaped(path: str) -> str:
-    """A literal path: characters that mean a pattern to Spark are escaped."""
-    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+    return spark.read.format("binaryFile").load([escaped_path(p) for p in dict.fromkeys(paths)]).select("path", "content").mapInArrow(run, schema)

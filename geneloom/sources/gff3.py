@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .discovery import find_fasta, stem
+from .discovery import escaped_path, find_fasta, plain_path, stem
 from .fasta import fasta_entries
 
 #: Parents are looked for through so many levels (CDS, mRNA, gene).
@@ -92,12 +92,11 @@ def read_gff(spark: SparkSession, paths: list[str], ordinals: list[int] | None =
             raise FileNotFoundError(f"no FASTA file belongs to {p}")
 
     def texts(files: list[str]) -> DataFrame:
-        """(cluster_ord, value) of whole files, one small plan per file."""
-        out = None
-        for o, p in zip(ordinals, files):
-            one = spark.read.text(p, wholetext=True).select(F.lit(o).alias("cluster_ord"), "value")
-            out = one if out is None else out.union(one)
-        return out
+        """(cluster_ord, value) of whole files, read in one scan whatever their number."""
+        place = spark.createDataFrame([(o, plain_path(p)) for o, p in zip(ordinals, files)], "cluster_ord int, path string")
+        uri = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+        found = spark.read.text([escaped_path(p) for p in dict.fromkeys(files)], wholetext=True).select(F.regexp_replace(F.url_decode(uri), "^[a-z]+:/+", "/").alias("path"), "value")
+        return found.join(F.broadcast(place), "path").select("cluster_ord", "value")
 
     gff = texts(paths)
     rows = feature_rows(gff)

@@ -85,12 +85,13 @@ def test_adding_clusters_equals_starting_over(spark, paths, session):
     n = s.alignments.count()
     s.align()
     assert s.alignments.count() == n == 3
-    assert [r["alignment_ord"] for r in s.alignments.orderBy("alignment_ord").collect()] == [0, 1, 2]
+    name = {r["cluster_id"]: r["name"] for r in s.clusters.collect()}
+    assert [(name[r["query_cluster_id"]], name[r["target_cluster_id"]]) for r in s.alignments.orderBy("alignment_ord").collect()] == [("alpha", "beta"), ("alpha", "gamma"), ("beta", "gamma")]
 
 
 def test_replacing_an_alignment(spark, session):
     s = Session(spark, dict(session.tables))
-    (first,) = session.alignments.where("alignment_ord = 0").collect()
+    first = session.alignments.orderBy("alignment_ord").first()
     turned = spark.createDataFrame([("new", 9, first["target_cluster_id"], first["query_cluster_id"])], session.alignments.schema)
     s.put_alignments(turned, s.links.limit(0))
     assert s.alignments.count() == 3 and s.links.count() == 0

@@ -46,10 +46,10 @@ def test_genbank_tables(spark, tmp_path):
         feature("CDS", "67..132", protein_id="P2"), feature("gene", "1..200", locus_tag="g"), feature("CDS", "1..66", locus_tag="T1", protein_id="P1", translation="MXX"),
         feature("CDS", "complement(join(70..80,90..100))", gene="minus"), feature("CDS", "150..210", note="no parent"), feature("gene", "140..170"), feature("CDS", "150..160", label="first parent wins"),
     ]
-    path = write(tmp_path, "my cluster [1].gbk", genbank("R1", BASES * 4, features) + genbank("R2", None, [feature("CDS", "1..9", protein_id="Q")], length=30))
+    path = write(tmp_path, "my cluster+ [1].gbk", genbank("R1", BASES * 4, features) + genbank("R2", None, [feature("CDS", "1..9", protein_id="Q")], length=30))
     tables = tables_of_records(read_genbank(spark, [path]))
     (cluster,) = tables["clusters"].collect()
-    assert (cluster["name"], cluster["cluster_ord"], cluster["source_path"]) == ("my cluster [1]", 0, path)
+    assert (cluster["name"], cluster["cluster_ord"], cluster["source_path"]) == ("my cluster+ [1]", 0, path)
     assert [(r["locus_ord"], r["name"], r["start"], r["end"]) for r in tables["loci"].orderBy("locus_ord").collect()] == [(0, "R1", 0, 264), (1, "R2", 0, 30)]
     found = genes_of(tables, "label", "start", "end", "strand", "translation")
     assert found[0] == ("P2", 66, 200, 1, PROTEIN + "*")  # the parent's start of 0 counts as none
@@ -82,9 +82,9 @@ def test_circular_records_start_at_the_gene_over_the_origin(spark, tmp_path):
     tables = tables_of_records(read_genbank(spark, [path]))
     found = {r[0]: r[1:] for r in genes_of(tables, "label", "start", "end", "translation", "sequence")}
     assert found["over"] == (0, 66, PROTEIN + "*", BASES)
-    assert found["in"][:2] == (42, 48)
+    assert found["in"][:2] == (42, 66)  # the gene contains it too
     left = tables_of_records(read_genbank(spark, [path]), set_origin=False)
-    assert {r[0]: r[1:] for r in genes_of(left, "label", "start", "end")}["in"] == (2, 8)
+    assert {r[0]: r[1:] for r in genes_of(left, "label", "start", "end")}["in"] == (2, 68)
     spliced = genbank("S", BASES, [feature("CDS", "complement(join(1..20,30..66))", protein_id="minus")], "circular")
     stays = tables_of_records(read_genbank(spark, [write(tmp_path, "s.gbk", spliced)]))
     assert genes_of(stays, "start", "end") == [(0, 66)]
@@ -125,7 +125,7 @@ def test_gff(spark, tmp_path):
     assert [g for (g,) in genes_of(tables, "label")] == ["c1", "c2", "x", "y", "x", "d1"]  # interleaved ids don't merge; over and outside are left out
     assert found["d1"] == (100, 106, 1, BASES[:6])
     names = dict(genes_of(tables, "label", "names"))
-    assert names["c1"]["product"] == "a"
+    assert names["c1"]["product"] == "a,b+c"
     ranged = tables_of_gff(*read_gff(spark, [path], ranges={"ctg1": (60, 120)}))
     assert [(r[0], r[1], r[3]) for r in genes_of(ranged, "label", "start", "end", "sequence") if r[0] == "y"] == [("y", 111, (BASES * 3)[111:118])]
 
@@ -163,6 +163,8 @@ def test_parse_files_keeps_the_order_of_mixed_kinds(spark, tmp_path):
     assert [r["name"] for r in tables["clusters"].orderBy("cluster_ord").collect()] == ["two", "one"]
     tables = parse_files(spark, [one, two])
     assert [r["name"] for r in tables["clusters"].orderBy("cluster_ord").collect()] == ["one", "two"]
+    tables = parse_files(spark, [one, one, two, two])
+    assert tables["clusters"].count() == 4 and tables["genes"].count() == 4
     with pytest.raises(TypeError):
         parse_files(spark, ["x.txt"])
     assert parse_files(spark, [])["genes"].collect() == []
