@@ -12,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Batches, materialise, prepare, shuffle_partitions, tidied
 from .near_dedup import BROADCAST_IDS, confirm
@@ -177,7 +176,8 @@ def candidates(lines: DataFrame, percent: int, parts: int, tokens: np.ndarray |
         wide = np.zeros(len(n), np.int64)
         wide[n >= WIDE_FROM] = some
         when = np.empty(len(n), np.int64)
-        order = np.lexsort((line, ids))
+        small = ids.min() >= 0 and ids.max() < 1 << 40 and line.max() < 1 << 23
+        order = np.argsort(ids << 23 | line) if small else np.lexsort((line, ids))
         when[order] = np.cumsum(np.r_[0, (np.diff(ids[order]) != 0) | (np.diff(line[order]) != 0)])
         order = np.lexsort((bits, token.astype(np.uint64) << np.uint64(32) | n.astype(np.uint64)))
         token, bits, k, n, place, when, asks, wide = (x[order] for x in (token, bits, k, n.astype(np.int64), place.astype(np.int64), when, asks, wide))
@@ -254,7 +254,9 @@ def token_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets += [np.unique(w.hashes[i:j]).astype("<u8").tobytes() for i, j in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.join(places, ["id", "key"]).select("text", "wanted").mapInArrow(run, "id long, shingles binary")
+    # By id first: the key, a hash of the whole text, is then computed for the documents met only.
+    met = docs.select("id", "text").join(places.withColumnRenamed("key", "wanted key"), "id").where(F.xxhash64("text") == F.col("wanted key"))
+    return met.select("text", "wanted").mapInArrow(run, "id long, shingles binary")
 
 
 #: Where so many sets at most are left to be searched again, only their tokens are dealt once more.
@@ -321,23 +323,11 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 5, id_col: str = "doc
     keyed = docs.select("*", F.col(id_col).cast("long").alias("line dedup id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("line dedup key"))
     plain = keyed.select(F.col("line dedup id").alias("id"), F.col("line dedup key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = removals(plain, percent, least)
-    names = docs.columns
-
-    @tidied
-    def apply(batches: Batches):
-        for b in batches:
-            texts, counts, removed = [], [], []
-            for x, gone in zip(b.column(text_col).cast(pa.binary()).to_pylist(), b.column("gone").to_pylist()):
-                if x is None:
-                    texts.append(None), counts.append(0), removed.append([])
-                    continue
-                lines = x.split(b"\n")
-                drop = set(gone or ())
-                texts.append(b"\n".join([t for i, t in enumerate(lines) if i not in drop]) if drop else x)
-                counts.append(sum(1 for t in lines if t and not t.isspace())), removed.append(sorted(drop))
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == text_col else b.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.list_(pa.int32()))], [*names, "n_lines", "removed"])
-
-    joined = keyed.join(gone, (keyed["line dedup id"] == gone["id"]) & (keyed["line dedup key"] == gone["key"]), "left").select(*(keyed[n] for n in names), gone["gone"])
-    out = T.StructType([*(T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema.fields), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
-    return joined.mapInArrow(apply, out)
+    joined = keyed.join(gone, (keyed["line dedup id"] == gone["id"]) & (keyed["line dedup key"] == gone["key"]), "left")
+    # The lines are a column of their own, so that each text is cut once.
+    joined = joined.select(*(keyed[c] for c in docs.columns), F.split(F.col(text_col).cast("string"), "\n", -1).alias("line dedup parts"), gone["gone"].alias("line dedup gone"))
+    parts, lost = F.col("line dedup parts"), F.col("line dedup gone")
+    staying = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), lost)
+    kept = F.when(lost.isNull(), F.col(text_col).cast("string")).otherwise(F.array_join(F.transform(staying, lambda i: F.get(parts, i)), "\n"))
+    worded = F.when(parts.isNull(), F.lit(0)).otherwise(F.size(F.filter(parts, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))))
+    return joined.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns), worded.cast("long").alias("n_lines"), F.sort_array(F.coalesce(lost, F.array().cast("array<int>"))).alias("removed"))
