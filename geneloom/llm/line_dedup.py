@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import Batches, materialise, prepare, shuffle_partitions, tidied
 from .near_dedup import BROADCAST_IDS, confirm
-from .substring_dedup import Words, mix, pack, slices, unpack
+from .substring_dedup import Words, pack, slices, unpack
 
 #: Tokens are counted in so many buckets; the order by (bucket's count, token hash) is the same for all lines.
 BUCKETS = 1 << 17
@@ -57,7 +57,7 @@ class Lines:
         breaks = np.flatnonzero(np.frombuffer(w.buffer, np.uint8) == 10)
         line = np.searchsorted(breaks, w.starts)
         self.first_line = np.r_[0, np.cumsum([t.count(b"\n") + 1 for t in texts])]  # of each text
-        rank = rarity[(w.hashes % np.uint64(BUCKETS)).astype(np.int64)] if len(line) else line
+        rank = rarity[(w.hashes & np.uint64(BUCKETS - 1)).astype(np.int64)] if len(line) else line
         key = line.astype(np.uint64) << np.uint64(44) | rank.astype(np.uint64) << np.uint64(36) | w.hashes.astype(np.uint64) >> np.uint64(28)
         order = np.argsort(key)
         token, line, key = w.hashes[order], line[order], key[order]
@@ -83,7 +83,7 @@ def token_counts(docs: DataFrame) -> np.ndarray:
         for b in batches:
             for _, part in slices(lower_bytes(b.column(0))):
                 h = Words(part).hashes
-                total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+                total += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
 
@@ -117,7 +117,7 @@ def lines_of(docs: DataFrame, rarity: np.ndarray, percent: int, least: int) -> D
                     continue
                 cut = np.flatnonzero(np.r_[True, x.line[1:] != x.line[:-1]])
                 n = np.diff(np.r_[cut, len(x.line)])
-                k1, k2 = (np.add.reduceat(mix(x.token ^ np.uint64(c)), cut).view(np.int64) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+                k1, k2 = (np.add.reduceat(v, cut).view(np.int64) for v in (x.token * x.token, x.token))  # tokens are well mixed hashes
                 bit = np.uint64(1) << (x.token >> np.uint64(57) & np.uint64(63))
                 bits, wide = (np.bitwise_xor.reduceat(v, cut).view(np.int64) for v in (bit, np.where(x.token >> np.uint64(63), bit, np.uint64(0))))
                 wide = np.where(n >= WIDE_FROM, wide, 0)
