@@ -59,7 +59,7 @@ def label_coalesce(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "qualifier_submap",
-    """SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 0 ELSE 1 END AS n_kept, json_extract_string(props, '$.k') AS k FROM events""",
+    """SELECT event_id, CAST(CASE WHEN json_extract_string(props, '$.k') IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_kept, json_extract_string(props, '$.k') AS k FROM events""",
 )
 def qualifier_submap(spark: SparkSession, d: str) -> DataFrame:
     kept = C.submap(F.from_json("props", "map<string,string>"), ["K", "unknown"])
@@ -333,7 +333,7 @@ def greedy_groups(spark: SparkSession, d: str) -> DataFrame:
     "multiset_intersection",
     """WITH p AS (SELECT user_id, event_type AS l, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
             c AS (SELECT user_id, l, r, count(*) AS n FROM p WHERE r IS NOT NULL GROUP BY ALL)
-       SELECT a.user_id AS user_id, sum(least(a.n, b.n)) AS contiguity FROM c a JOIN c b ON b.user_id = a.user_id + 1 AND a.l = b.l AND a.r = b.r GROUP BY a.user_id""",
+       SELECT a.user_id AS user_id, CAST(sum(least(a.n, b.n)) AS BIGINT) AS contiguity FROM c a JOIN c b ON b.user_id = a.user_id + 1 AND a.l = b.l AND a.r = b.r GROUP BY a.user_id""",
 )
 def multiset_intersection(spark: SparkSession, d: str) -> DataFrame:
     pairs = user_pairs(spark, d)
