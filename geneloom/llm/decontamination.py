@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-The n-grams of the test items are counted over the whole corpus; each item keeps its rarest share of them as seeds. A
-seed found in a document places the item along a diagonal of the passage around it; item and passage are aligned word by
+The n-grams of the test items are the seeds, all of them: an edited copy may have left any few, also frequent ones. A
+caller may keep each item's rarest share only, by counts over the whole corpus, at the price of missed copies. A seed
+found in a document places the item along a diagonal of the passage around it; item and passage are aligned word by
 word, so that edited and partly rewritten copies score too. An item's score is its best local alignment divided by the
 score of a perfect copy.
 
@@ -109,19 +110,21 @@ class Items:
             bounds = [*w.first.tolist(), len(w.starts)]
             own: list[list[tuple[int, float, int, int]]] = [[] for _ in part]
             for (d, k), diagonals in lines.items():
-                item = self.words[k]
+                item, need = self.words[k], least * MATCH * len(self.words[k])
                 slack = 2 + len(item) // 2
                 best, region = (0, 0, 0), None
                 for x in [*sorted(set(diagonals)), None]:
                     if region and (x is None or x - slack > region[1]):
                         a, b = max(bounds[d], region[0]), min(bounds[d + 1], region[1])
-                        score, start, end = align(item, w.hashes[a:b])
+                        # No score is above that of all the item's words that the passage has.
+                        able = MATCH * int(np.isin(item, w.hashes[a:b]).sum())
+                        score, start, end = align(item, w.hashes[a:b]) if able >= need and able > best[0] else (0, 0, 0)
                         if score > best[0]:
                             best = (score, a + start - bounds[d], a + end - bounds[d])
                         region = None
                     if x is not None:
                         region = (region[0] if region else x - slack, x + len(item) + slack)
-                if best[0] >= least * MATCH * len(item):
+                if best[0] >= need:
                     own[d].append((self.ids[k], best[0] / (MATCH * len(item)), best[1], best[2]))
             out += [sorted(x, key=lambda m: (-m[1], m[0])) for x in own]
         return out
@@ -153,18 +156,19 @@ def seed_counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
     return {r["seed"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed_words: int = 4, rare_share: float = 0.75, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matched(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed_words: int = 4, rare_share: float = 1.0, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All columns of docs and HITS: array of (item, score, start, end) with score >= least, best first.
 
     A null or empty text matches nothing. Items with a null id or text, or with fewer than seed_words words, are in no
     match. Repeated items match each by themselves, repeated rows get equal results. An empty benchmark matches nothing.
-    Two passes over docs for each block of items, no shuffle of docs.
+    Each block of items takes a pass over docs, and one more if rare_share is under 1; no shuffle of docs.
     """
     prepare(docs.sparkSession)
     out = docs
     for k, block in enumerate(blocks_of(benchmark, item_col, item_text_col)):
         items = Items(sorted((r["id"], r["text"]) for r in block.collect()), seed_words)
-        items.keep_rare(seed_counts(docs, items, text_col), rare_share)
+        if rare_share < 1:
+            items.keep_rare(seed_counts(docs, items, text_col), rare_share)
 
         @tidied
         def run(batches: Batches, items=items, more=k > 0):

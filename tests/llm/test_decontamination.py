@@ -81,6 +81,25 @@ def test_rare_seeds_find_copies_and_edits(spark):
     assert found == {1: True, 2: True, 3: True, 4: False, 5: False}
 
 
+def test_edited_copies_by_the_defaults(spark):
+    """Only the seeds of an edited copy that the edits left are in the corpus, and so are the most frequent ones of the item."""
+    rng = random.Random(5)
+    bench = [(k, " ".join(f"e{k}x{i}" for i in range(38))) for k in range(20)]
+    rows = []
+    for i in range(160):
+        w = bench[i % 20][1].split()
+        every, share = 5, rng.choice((0.2, 0.25, 0.3))
+        changed = range(4, 38, every) if i < 40 else rng.sample(range(38), round(share * 38))
+        for j in changed:
+            w[j] = f"z{i}y{j}"
+        rows.append((i, " ".join(["before"] * 3 + w + ["after"] * 3)))
+    rows.append((500, "a whole copy " + bench[0][1]))
+    expected = brute(rows, bench)
+    found = {r["doc_id"]: set(r["items"]) for r in D.report(table(spark, rows), items(spark, bench)).collect()}
+    assert found == {i: x[0] for i, x in expected.items()}
+    assert all(found[i] for i in range(40))
+
+
 def test_seeds_are_the_rarest():
     one = D.Items([(1, "a b c d e f g h")], 4)
     counts = {s: n for n, s in enumerate(one.seeds.tolist())}
