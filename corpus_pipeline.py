@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines like an earlier one go, and documents of which no line with a word is left."""
-    rows = line_dedup.dedup(docs, SIMILARITY)
+    """Lines of any size like an earlier one go, and documents of which no line with a word is left."""
+    rows = line_dedup.dedup(docs, SIMILARITY, least=1)
     emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return with_text(rows.where(~emptied), docs.columns)
 

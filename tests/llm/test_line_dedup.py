@@ -57,6 +57,22 @@ def test_short_lines_stay(spark):
     assert found == {1: [], 2: [2]}
 
 
+def short_lines():
+    """Repeats of lines of one to six distinct words, and pairs of four words against five at the threshold."""
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(0, 7))) for _ in range(4))) for i in range(80)]
+    return rows + [(100, "p q r s"), (101, "s r q p t\nLes."), (102, "les.\nLES. les."), (103, ""), (104, "u v w x y"), (105, "y x w v")]
+
+
+def test_query_of_all_lines(spark, tmp_path):
+    table(spark, short_lines()).write.parquet(str(tmp_path / "documents.parquet"))
+    expected = brute(short_lines(), least=1)
+    found = {r["doc_id"]: r["removed"] for r in QUERIES["op2_line_dedup_all_lines"](spark, str(tmp_path)).collect()}
+    assert found == {i: ",".join(map(str, sorted(gone))) for (i, _), gone in expected.items()}
+
+
 def test_order_of_tokens_is_global():
     import numpy as np
 

@@ -53,6 +53,14 @@ def test_line_stage_matches_brute_force(spark):
             assert found[i] == (None if t is None else "\n".join(left))
 
 
+def test_line_stage_takes_short_lines(spark):
+    rows = test_line_dedup.short_lines()
+    expected = test_line_dedup.brute(rows, least=1)
+    found = {r["doc_id"]: r["text"] for r in P.lines(spark, table(spark, rows), "").collect()}
+    left = {i: [x for n, x in enumerate(t.split("\n")) if n not in expected[i, t]] for i, t in rows}
+    assert found == {i: "\n".join(left[i]) for i, t in rows if not expected[i, t] or any(x.strip() for x in left[i])}
+
+
 def test_near_stage_matches_brute_force(spark):
     rows = corpus()
     expected = test_near_dedup.brute(rows, P.SHINGLE_WORDS, P.SIMILARITY)
