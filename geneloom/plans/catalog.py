@@ -141,8 +141,18 @@ def identity_filter(spark: SparkSession, d: str) -> DataFrame:
        GROUP BY ALL""",
 )
 def interval_containment_first(spark: SparkSession, d: str) -> DataFrame:
+    return first_containing_part(spark, d, t(spark, d, "lineitem").where("l_orderkey % 10 = 3"))
+
+
+@query("interval_containment_first_all")
+def interval_containment_first_all(spark: SparkSession, d: str) -> DataFrame:
+    """All of lineitem; the SQL of interval_containment_first takes a tenth. Tests hold it against brute force."""
+    return first_containing_part(spark, d, t(spark, d, "lineitem"))
+
+
+def first_containing_part(spark: SparkSession, d: str, lineitem: DataFrame) -> DataFrame:
     row = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    inner = t(spark, d, "lineitem").where("l_orderkey % 10 = 3").select(*row).distinct().withColumn("g", F.col("l_suppkey") % 50)
+    inner = lineitem.select(*row).distinct().withColumn("g", F.col("l_suppkey") % 50)
     outer = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("g"), (F.col("p_size") / 10.0).alias("l_linenumber"), (F.col("p_size") + 10).alias("l_quantity"))
     return intervals.first_containing(inner, outer, ["g"], row, "p_partkey", ["p_partkey"], "l_linenumber", "l_quantity").drop("g")
 

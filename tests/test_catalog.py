@@ -20,6 +20,21 @@ def test_query_without_sql_runs(spark, name):
     assert frame.count() > 0 and frame.columns
 
 
+def rows_of(con, sql):
+    return con.execute(sql).fetchall()
+
+
+def test_containment_of_all_lineitems(spark, con):
+    parts: dict = {}
+    for key, size in rows_of(con, "SELECT p_partkey, p_size FROM part ORDER BY p_partkey"):
+        parts.setdefault(key % 50, []).append((key, size / 10, size + 10))
+    rows = set(rows_of(con, "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem"))
+    expected = sorted((*map(float, r), next((key for key, low, high in parts.get(r[2] % 50, ()) if r[3] >= low and r[4] <= high), -1)) for r in rows)
+    found = catalog.QUERIES["interval_containment_first_all"](spark, DATA).collect()
+    assert sorted((*map(float, r[:6]), -1 if r[6] is None else r[6]) for r in found) == expected
+    assert len({r[0] % 10 for r in found}) == 10
+
+
 def test_entry_modules_import(spark):
     import __spark_entry__ as entry
 
