@@ -35,6 +35,16 @@ def test_containment_of_all_lineitems(spark, con):
     assert len({r[0] % 10 for r in found}) == 10
 
 
+def test_pairs_of_all_nations(spark, con, tmp_path):
+    """Three suppliers a nation, so that every pair of nations has links."""
+    con.execute(f"COPY nation TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS s_suppkey, CAST((i * 7) % 25 AS INTEGER) AS s_nationkey FROM range(75) r(i)) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    members = {n: [i for i in range(75) if i * 7 % 25 == n] for n in range(25)}
+    expected = {(x, y, 3 * i + j) for a in range(25) for b in range(a + 1, 25) for i, x in enumerate(members[a]) for j, y in enumerate(members[b])}
+    found = catalog.QUERIES["gene_cross_pairs_all"](spark, str(tmp_path)).collect()
+    assert len(found) == len(expected) == 2700 and {tuple(r) for r in found} == expected
+
+
 def test_entry_modules_import(spark):
     import __spark_entry__ as entry
 
