@@ -298,8 +298,8 @@ def link_sum_avg(spark: SparkSession, d: str) -> DataFrame:
 EDGES = "SELECT DISTINCT l_suppkey AS a, l_partkey + 1000000 AS b FROM lineitem WHERE l_quantity >= 50 AND l_discount = 0.05"
 
 
-def edges(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount = 0.05").select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
+def edges(spark: SparkSession, d: str, rows: str = "l_quantity >= 50 AND l_discount = 0.05") -> DataFrame:
+    return t(spark, d, "lineitem").where(rows).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")).distinct()
 
 
 @query(
@@ -312,6 +312,12 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(edges(spark, d))
 
 
+@query("components_all")
+def components_all(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of all of lineitem, for which recursive SQL is too slow. Tests hold it against a union-find."""
+    return connected_components(edges(spark, d, "true"))
+
+
 @query(
     "function_grouping",
     "SELECT p_type AS function, min(p_partkey) AS function_ord, string_agg(p_name, '|' ORDER BY p_partkey) AS genes FROM part GROUP BY p_type",
@@ -331,7 +337,16 @@ def function_grouping(spark: SparkSession, d: str) -> DataFrame:
 )
 def function_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every function gene has an edge here, so that the documented rule is the closure over edges and functions."""
-    e = edges(spark, d)
+    return grouped(edges(spark, d))
+
+
+@query("function_groups_all")
+def function_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of all of lineitem. Tests hold it against a union-find."""
+    return grouped(edges(spark, d, "true"))
+
+
+def grouped(e: DataFrame) -> DataFrame:
     links = e.select(F.col("a").cast("string").alias("query_gene_id"), F.col("b").cast("string").alias("target_gene_id"), F.struct("a", "b").alias("place"))
     functions = e.select((F.col("a") % 5).alias("function_ord"), F.concat(F.lit("F"), (F.col("a") % 5).cast("string")).alias("function"), F.col("a").cast("string").alias("gene_id")).distinct()
     found, members = groups.build_groups(links, functions)
@@ -343,8 +358,7 @@ def greedy_groups(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = t(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount = 0.05")
-    links = rows.select(F.col("l_returnflag").alias("alignment_id"), F.row_number().over(order).alias("link_ord"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("query_gene_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_gene_id"), (F.col("l_tax") * 10).alias("identity"))
+    links = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("alignment_id"), F.row_number().over(order).alias("link_ord"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("query_gene_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target_gene_id"), (F.col("l_tax") * 10).alias("identity"))
     return groups.greedy_groups(links)
 
 

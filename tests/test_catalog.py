@@ -45,6 +45,56 @@ def test_pairs_of_all_nations(spark, con, tmp_path):
     assert len(found) == len(expected) == 2700 and {tuple(r) for r in found} == expected
 
 
+def lowest(pairs) -> dict:
+    """The least node that each node of an edge reaches."""
+    root: dict = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in root}
+
+
+ALL_EDGES = "SELECT DISTINCT l_suppkey, l_partkey + 1000000 FROM lineitem"
+
+
+def test_components_of_all_lineitems(spark, con):
+    found = {r["node"]: r["component"] for r in catalog.QUERIES["components_all"](spark, DATA).collect()}
+    assert found == lowest(rows_of(con, ALL_EDGES))
+
+
+def test_function_groups_of_all_lineitems(spark, con):
+    pairs = rows_of(con, ALL_EDGES)
+    root = lowest(pairs + [(-1 - a % 5, a) for a, _ in pairs])
+    label: dict = {}
+    for x in root:
+        if x < 0:
+            label[root[x]] = min(label.get(root[x], 9), -1 - x)
+    found = sorted(tuple(r) for r in catalog.QUERIES["function_groups_all"](spark, DATA).select("gene_id", "label").collect())
+    assert found == sorted((str(x), f"F{label[root[x]]}") for x in root if x >= 0)
+
+
+def test_greedy_groups_take_all_lineitems(spark, con):
+    """A plain list of groups for each flag."""
+    held: dict = {}
+    for flag, supplier, part, tax in rows_of(con, "SELECT l_returnflag, l_suppkey, l_partkey, l_tax FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate"):
+        if tax * 10 >= 0.3:
+            own, last = held.setdefault(flag, ([], {}))
+            ends = {f"s{supplier}", f"p{part}"}
+            at = next((i for i, g in enumerate(own) if g & ends), len(own))
+            own[at:] = [(own[at] if at < len(own) else set()) | ends, *own[at + 1 :]]
+            last.update(dict.fromkeys(ends, at))
+    expected = {(flag, gene): n for flag, (_, last) in held.items() for gene, n in last.items()}
+    assert {(r["alignment_id"], r["gene_id"]): r["group_no"] for r in catalog.QUERIES["greedy_groups"](spark, DATA).collect()} == expected
+
+
 def test_entry_modules_import(spark):
     import __spark_entry__ as entry
 
