@@ -59,7 +59,10 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """Test items of a block: word hashes, and seeds sorted by hash with their item and place."""
+    """Test items of a block: word hashes, and seeds sorted by hash with their item and place.
+
+    `short` has, by length, those that are shorter than a seed: their whole text is their seed.
+    """
 
     def __init__(self, items: list[tuple[int, str]], seed_words: int) -> None:
         self.ids = [i for i, _ in items]
@@ -71,6 +74,10 @@ class Items:
         self.seeds, self.item = runs, w.doc[at] if len(at) else at
         self.place = at - w.first[self.item] if len(at) else at
         self.sort()
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, words in enumerate(self.words):
+            if 0 < len(words) < seed_words:
+                self.short.setdefault(len(words), {}).setdefault(int(w.runs(len(words))[w.first[k]]), []).append(k)
 
     def sort(self) -> None:
         order = np.argsort(self.seeds, kind="stable")
@@ -108,6 +115,13 @@ class Items:
                 for s in range(a, b):
                     lines.setdefault((int(w.doc[i]), int(self.item[s])), []).append(i - int(self.place[s]))
             bounds = [*w.first.tolist(), len(w.starts)]
+            for n, seeds in self.short.items() if len(w.hashes) else ():
+                all_runs = w.runs(n)
+                for i in np.flatnonzero(np.isin(all_runs, np.fromiter(seeds, np.uint64, len(seeds)))).tolist():
+                    d = int(w.doc[i])
+                    if i + n <= bounds[d + 1]:
+                        for k in seeds[int(all_runs[i])]:
+                            lines.setdefault((d, k), []).append(i)
             own: list[list[tuple[int, float, int, int]]] = [[] for _ in part]
             for (d, k), diagonals in lines.items():
                 item, need = self.words[k], least * MATCH * len(self.words[k])
@@ -159,8 +173,9 @@ def seed_counts(docs: DataFrame, items: Items, text_col: str) -> dict[int, int]:
 def matched(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, seed_words: int = 4, rare_share: float = 1.0, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """All columns of docs and HITS: array of (item, score, start, end) with score >= least, best first.
 
-    A null or empty text matches nothing. Items with a null id or text, or with fewer than seed_words words, are in no
-    match. Repeated items match each by themselves, repeated rows get equal results. An empty benchmark matches nothing.
+    A null or empty text matches nothing. Items with a null id or text, or with no word, are in no match; those of fewer
+    than seed_words words match where their words occur unchanged. A copy without seed_words words in a row of its item
+    is not found. Repeated items match each by themselves, repeated rows get equal results. An empty benchmark matches nothing.
     Each block of items takes a pass over docs, and one more if rare_share is under 1; no shuffle of docs.
     """
     prepare(docs.sparkSession)

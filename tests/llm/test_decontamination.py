@@ -100,6 +100,14 @@ def test_edited_copies_by_the_defaults(spark):
     assert all(found[i] for i in range(40))
 
 
+def test_items_shorter_than_a_seed(spark):
+    bench = [(1, "Solo!"), (2, "two words"), (3, "three short words"), (4, "two words"), (5, ""), (6, "four whole words here")]
+    rows = [(1, "a solo, then two words"), (2, "three short"), (3, "words three short words"), (4, "two"), (5, "words"), (6, "four whole words here"), (7, ""), (8, "of solo")]
+    found = {r["doc_id"]: sorted(r["items"]) for r in D.report(table(spark, rows), items(spark, bench)).collect()}
+    assert found == {1: [1, 2, 4], 2: [], 3: [3], 4: [], 5: [], 6: [6], 7: [], 8: [1]}
+    assert [r["items"] for r in D.report(table(spark, [(1, ""), (2, None)]), items(spark, bench[:2])).collect()] == [[], []]
+
+
 def test_seeds_are_the_rarest():
     one = D.Items([(1, "a b c d e f g h")], 4)
     counts = {s: n for n, s in enumerate(one.seeds.tolist())}
