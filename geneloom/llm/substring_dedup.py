@@ -1,4 +1,4 @@
-"""Removal of repeated word windows by prefix-partitioned suffix trees.
+"""Removal of repeated word windows by numbering them in groups dealt by prefix.
 
 Each word covered by a window of `window` words that also starts in a document with a smaller id is removed. Windows
 that can't repeat never leave their document:
@@ -7,10 +7,10 @@ that can't repeat never leave their document:
    equal places. Anchors go to groups by hash; those that only one document has are dropped.
 2. The suffixes around the anchors that are left (the words from the first window of an anchor to the end of its last)
    are grouped by prefix: by the anchor's words or, where a sample shows that these are very frequent, by the whole
-   window, the longest prefix that matters. So groups fit into memory whatever the prefix.
-3. In each group the suffix tree is built level by level: the nodes at depth 1, 2, 4, ... and `window` are numbered by
-   joining two nodes of half the depth, on exact words. Nodes at depth `window` with two documents or more are the deep
-   internal nodes; the union of their windows gives the maximal repeats.
+   window, the longest prefix that matters.
+3. In each group the runs of 1, 2, 4, ... and `window` words are numbered, each by joining two of half the length, on
+   exact words. This replaces a suffix tree: none is built. Windows whose number two documents or more have are the
+   repeats.
 
 A window that a sample shows in a large share of all documents never goes to a group: its least document id comes from
 a partial aggregate of at most HOT_WINDOWS rows, which each document is then held against.
