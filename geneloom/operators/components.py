@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,28 +11,30 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; sets a temporary one only where none is set."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a temporary one is set if all runs in one process, else RuntimeError."""
     base = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = base.get() if base.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="geneloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written to the shared folder and read back, which cuts its lineage and outlives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.parquet(path).select(*df.columns)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge, component being the least node that can be reached.
 
     Labels start at the least neighbour; each round takes the least label among the neighbours' (a partial aggregate,
-    so that a node with very many edges meets in no single task) and then follows labels to their own labels, which
-    halves the remaining paths. Each round is written to the shared folder. Nulls and self-loops: a self-loop makes a
+    so that the sums of a node with very many edges are made before they meet) and then follows labels to their own labels,
+    which halves the remaining paths. The joins on a node's key and on a label's are left to adaptive execution to split where they are skewed. Each round is written to the shared folder. Nulls and self-loops: a self-loop makes a
     node, an edge with a null end makes none.
     """
     some = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
