@@ -5,8 +5,6 @@ from __future__ import annotations
 import ctypes
 import functools
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,37 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import shared_dir, written  # noqa: F401
+from ..plans.arrow import bound_batches
+
 #: ASCII white space, the only word separator of every operator here.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes as well as by rows, so that very long texts don't add up in a worker."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))):
-        spark.conf.set(key, value)
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables below spark.checkpoint.dir; sets a temporary one only where none is set."""
-    base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = base.get() if base.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="geneloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path).select(*df.columns)
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+prepare = bound_batches
+materialise = written
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

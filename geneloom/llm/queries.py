@@ -63,17 +63,12 @@ FROM judged
 # Line dedup.
 
 
-def op2_line_dedup(spark: SparkSession, sf_dir: str, least: int = 5) -> DataFrame:
-    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=least)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     numbers = F.array_join(F.transform("removed", lambda n: n.cast("string")), ",")
     return rows.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), numbers.alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def op2_line_dedup_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one word or more; the SQL of op2_line_dedup leaves out those of under five distinct words."""
-    return op2_line_dedup(spark, sf_dir, least=1)
-
-
 OP2_SQL = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -83,7 +78,7 @@ WITH docs AS (
   SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS tokens FROM lines
 ), classes AS (
   SELECT tokens, len(tokens) AS n, min({'doc_id': doc_id, 'line_no': line_no}) AS first, row_number() OVER (ORDER BY tokens) AS class
-  FROM sets WHERE len(tokens) >= 5 GROUP BY tokens
+  FROM sets WHERE len(tokens) >= 1 GROUP BY tokens
 ), flat AS (
   SELECT class, n, first, unnest(tokens) AS token FROM classes
 ), ranked AS (
@@ -290,7 +285,6 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN {pattern} THEN 'block'
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_line_dedup": op2_line_dedup,
-    "op2_line_dedup_all_lines": op2_line_dedup_all_lines,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_warc": op4_warc,
     "op5_chat_formatting": op5_chat_formatting,

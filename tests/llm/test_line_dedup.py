@@ -4,7 +4,7 @@ from tests.llm.fixtures import rows_by_id, table, texts
 from tests.oracle import DATA, connect, same
 
 
-def brute(rows, percent=80, least=5):
+def brute(rows, percent=80, least=1):
     """Removed line numbers by (id, text): all pairs of lines, exactly."""
     docs = sorted({(i, t or "") for i, t in rows if i is not None})
     lines = [(i, n, t, frozenset(x.lower().encode().split())) for i, t in docs for n, x in enumerate(t.split("\n"))]
@@ -53,7 +53,7 @@ def test_many_similar_lines(spark):
 
 def test_short_lines_stay(spark):
     rows = [(1, "a b c\na b c"), (2, "a b c\nv w x y z\nz y x w v V")]
-    found = {r["doc_id"]: r["removed"] for r in L.dedup(table(spark, rows)).collect()}
+    found = {r["doc_id"]: r["removed"] for r in L.dedup(table(spark, rows), least=5).collect()}
     assert found == {1: [], 2: [2]}
 
 
@@ -66,13 +66,40 @@ def short_lines():
     return rows + [(100, "p q r s"), (101, "s r q p t\nLes."), (102, "les.\nLES. les."), (103, ""), (104, "u v w x y"), (105, "y x w v")]
 
 
-def test_query_of_all_lines(spark, tmp_path):
+def test_query_takes_short_lines(spark, tmp_path):
     table(spark, short_lines()).write.parquet(str(tmp_path / "documents.parquet"))
     expected = brute(short_lines(), least=1)
-    found = {r["doc_id"]: r["removed"] for r in QUERIES["op2_line_dedup_all_lines"](spark, str(tmp_path)).collect()}
+    found = {r["doc_id"]: r["removed"] for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
     assert found == {i: ",".join(map(str, sorted(gone))) for (i, _), gone in expected.items()}
 
 
+def test_frequent_tokens_are_cut_into_blocks(spark, monkeypatch):
+    """Sets of a small vocabulary, so that each token has many: with tiny blocks and groups the result is the same."""
+    import random
+
+    monkeypatch.setattr(L, "BLOCK_ENTRIES", 20)
+    monkeypatch.setattr(L, "GROUP_ENTRIES", 100)
+    monkeypatch.setattr(L, "PAIRS_A_BATCH", 7)
+    rng = random.Random(8)
+    rows = [(i, "\n".join(" ".join(rng.sample("abcdefghijklmn", rng.randrange(1, 12))) for _ in range(3))) for i in range(200)]
+    check(spark, rows)
+
+
+def test_every_two_entries_of_a_frequent_token_meet():
+    import numpy as np
+
+    deal = L.Deal.__new__(L.Deal)
+    deal.blocks = np.ones(L.BUCKETS, np.int64)
+    deal.blocks[5] = 4
+    flat = np.array([5] * 30 + [6] * 3, np.uint64)
+    tokens, at = deal.split(flat, np.arange(33))
+    groups = {}
+    for t, i in zip(tokens.tolist(), at.tolist()):
+        groups.setdefault(t, set()).add(i)
+    assert all(any({i, j} <= g for g in groups.values()) for i in range(30) for j in range(30))
+    assert max(len(g) for g in groups.values()) <= 16 and {30, 31, 32} in groups.values()
+
+
 def test_order_of_tokens_is_global():
     import numpy as np
 
