@@ -7,20 +7,22 @@ two sketches estimates their similarity, most precisely where it is high. Classe
 1. In each bucket every class is held against the least one. Pairs whose sketches rule out the wanted similarity
    (by more than five standard errors) are dropped, the rest are confirmed on the full sets; the links' components
    are found.
-2. Buckets that still hold several components are searched again: each class outside the bucket's largest component
-   against all classes of other components, by sketch and then by full set, inside one kernel that returns at most the links
-   that join components. Large buckets are cut into blocks of BLOCK classes.
+2. Buckets that still hold several components are searched again, in rounds: each class outside the bucket's largest
+   component is held against the one of another component with the most similar sketch, until a round finds no link;
+   then against all of other components. Large buckets are cut into blocks of BLOCK classes; only sketches are dealt
+   there, and full sets where a pair is confirmed.
 
 A pair at the threshold shares no band with a probability of 6e-6, and a more similar one with less.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -28,7 +30,8 @@ from .common import Batches, materialise, prepare, tidied
 from .substring_dedup import Words, mix, slices, texts_as_bytes
 
 HASHES, ROWS, SKETCH_BITS = 240, 6, 512
-BLOCK = 2_000
+BLOCK = 1_000
+PAIRS_A_BATCH = 100_000
 #: Sets of so many classes at most are fetched by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _seed = np.random.default_rng(20240501)
@@ -85,8 +88,13 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return mix(bands + np.arange(len(bands), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
+def sums_of(shingles: np.ndarray) -> list[int]:
+    """Two sums of differently mixed hashes, which stand for the set."""
+    return [int(mix(shingles ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
+
+
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, f1, f2, bands, sketch) per row with an id; the sums f1 and f2 of mixed hashes stand for the set."""
+    """(id, n, f1, f2, bands, sketch) per row with an id; the sums f1 and f2 stand for the set."""
 
     @tidied
     def run(batches: Batches):
@@ -96,27 +104,40 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 if not len(s):
                     rows.append((0, 0, 0, None, None))
                     continue
-                f = [int(mix(s ^ np.uint64(c)).sum(dtype=np.uint64).astype(np.int64)) for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
                 m = minhash(s)
-                rows.append((len(s), *f, band_hashes(m), odd_sketch(m)))
+                rows.append((len(s), *sums_of(s), band_hashes(m), odd_sketch(m)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["id", "n", "f1", "f2", "bands", "sketch"])
 
     return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in ids, a table of distinct ids; packed uint64."""
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def class_of() -> Column:
+    """The number of a row's class: all rows with its set."""
+    return F.xxhash64("f1", "f2", "n").alias("class")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the wanted classes (class, first), by a document `first` that has the class's set; packed uint64.
+
+    id is the class. Rows of one id may have other sets; these are left out.
+    """
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
 
     @tidied
     def run(batches: Batches):
         for b in batches:
-            sets = [s.astype("<u8").tobytes() for s in shingle_sets(texts_as_bytes(b.column("text")), words)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+            sets = shingle_sets(texts_as_bytes(b.column("text")), words)
+            sums = [sums_of(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("class"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in sums], pa.int64()) for i in (0, 1)), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                ["id", "n", "f1", "f2", "shingles"],
+            )
 
-    return docs.join(ids, "id", "left_semi").mapInArrow(run, "id long, shingles binary").dropDuplicates(["id"])
+    met = docs.join(wanted, docs["id"] == wanted["first"]).select("class", "text")
+    found = met.mapInArrow(run, "id long, n long, f1 long, f2 long, shingles binary")
+    return found.where(F.col("id") == class_of()).select("id", "shingles").dropDuplicates(["id"])
 
 
 def shared(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -158,51 +179,72 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, kind: str = "long")
     return dealt.groupBy("p", "q").cogroup(needed.groupBy("p2", "q2")).applyInArrow(check, f"a {kind}, b {kind}")
 
 
-def search_again(bands: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Links between components that share a bucket: (a, b), a spanning choice of them for each block of a bucket."""
+def open_buckets(bands: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(bucket, id, component, n, sketch, main, blocks) of the classes of buckets with several components; main is the largest."""
     own = bands.join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    several = own.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    own = materialise(own.join(several, "bucket", "left_semi"), "open-buckets")
     sizes = own.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
-    largest = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
-    own = own.join(largest, "bucket").join(sketches, "id").join(sets, "id")
-    every = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False))
-    asking = own.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-    columns = ["bucket", "block", "asks", "id", "component", "sketch", "shingles"]
-
-    def link(rows: pa.Table) -> pa.Table:
-        asks = np.array(rows.column("asks").to_pylist())
-        ids, comps = rows.column("id").to_numpy(), rows.column("component").to_numpy()
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
-        sets = [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
-        n = np.array([len(s) for s in sets])
-        root = {c: c for c in comps.tolist()}
+    several = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("components")).where("components > 1")
+    return own.join(several.select("bucket", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket").join(sketches, "id")
 
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
 
-        out, listed = [], np.flatnonzero(~asks)
+def across(own: DataFrame, percent: int, bits: int, salt: int | None = None) -> DataFrame:
+    """(a, b) of classes in different components of a bucket whose sizes and sketches allow the similarity.
+
+    With a salt each class outside the main component gets its most promising partner in its own block; without one
+    it goes to all blocks of its bucket and gets all partners. Only sketches are dealt, no sets.
+    """
+    block = F.pmod(F.xxhash64("id", F.lit(salt or 0)), F.col("blocks")).cast("int")
+    asks, listed = F.col("component") != F.col("main"), own.withColumn("block", block)
+    if salt is None:
+        every = own.where(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+        listed = listed.withColumn("asks", F.lit(False)).unionByName(every)
+    else:
+        listed = listed.withColumn("asks", asks)
+
+    def partners(batches: Batches) -> Batches:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, comps, n, asks = (rows.column(c).to_numpy() for c in ("id", "component", "n", "asks"))
+        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
+        held = np.arange(len(ids)) if salt is not None else np.flatnonzero(~asks)
+        out, size = [], 0
         for x in np.flatnonzero(asks).tolist():
-            fits = (100 * np.minimum(n[listed], n[x]) >= percent * np.maximum(n[listed], n[x])) & (comps[listed] != comps[x])
-            at = listed[fits]
+            at = held[(100 * np.minimum(n[held], n[x]) >= percent * np.maximum(n[held], n[x])) & (comps[held] != comps[x])]
             count = np.bitwise_count(sketch[at] ^ sketch[x]).sum(1)
-            at = at[count <= bits][np.argsort(count[count <= bits], kind="stable")]
-            i, step = 0, 16
-            while i < len(at):
-                part = np.array([y for y in at[i : i + step].tolist() if find(int(comps[y])) != find(int(comps[x]))], np.int64)
-                i, step = i + step, min(512, 2 * step)
-                if len(part):
-                    for y in part[similar(sets[x], [sets[y] for y in part], percent)].tolist():
-                        p, q = find(int(comps[x])), find(int(comps[y]))
-                        if p != q:
-                            root[max(p, q)] = min(p, q)
-                            out.append((int(ids[x]), int(ids[y])))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return every.select(columns).union(asking.select(columns)).groupBy("bucket", "block").applyInArrow(link, "a long, b long")
+            at, count = at[count <= bits], count[count <= bits]
+            if salt is not None and len(at):
+                at = at[[int(np.lexsort((ids[at], count))[0])]]
+            if len(at):
+                out.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
+                size += len(at)
+            if size > PAIRS_A_BATCH:
+                yield pairs_batch(out)
+                out, size = [], 0
+        if out:
+            yield pairs_batch(out)
+
+    return listed.select("bucket", "block", "asks", "id", "component", "n", "sketch").groupBy("bucket", "block").applyInArrow(partners, "a long, b long").distinct()
+
+
+def pairs_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
+def joined(links: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(node, component) once all links are found: rounds of most promising partners, then all that are left."""
+    labels = connected_components(links)
+    for salt in itertools.count(1):
+        own = materialise(open_buckets(bands, labels, sketches), "near-open")
+        if own.isEmpty():
+            return labels
+        tried = materialise(across(own, percent, bits, salt), "near-tried")
+        more = materialise(confirm(tried, sets, percent), "near-more")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = connected_components(links)
+    more = materialise(confirm(across(own, percent, bits).join(tried, ["a", "b"], "left_anti"), sets, percent), "near-rest")
+    return labels if more.isEmpty() else connected_components(links.union(more))
 
 
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,37 +252,41 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
 
     Two documents are linked where 100 * intersection >= percent * union of their shingle sets. A null or empty text
     has no shingles and is linked with nothing. Rows with a null id are linked with nothing, have a null component
-    and are kept. Rows with one id count as one document where they link; a repeated row gets the same result. Other
-    columns are not read. An empty table gives no rows.
+    and are kept. Rows with one id are one document, which has the links of each of its texts; a repeated row gets the same
+    result. Other columns are not read. An empty table gives no rows. Shingles stand as 64-bit hashes and sets as two
+    64-bit sums of them with their size: among n shingles of a pair's two texts two are taken for one with a probability
+    of about n**2 / 2**65. A worker holds a text and some 20 bytes for each of its bytes at a time.
     """
     prepare(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    found = materialise(features(texts, words), "near-features")
+    found = materialise(features(texts, words).withColumn("class", F.when(F.col("n") > 0, class_of())), "near-features")
     usable = found.where("id IS NOT NULL AND n > 0")
-    classes = materialise(usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("class")), "near-classes")
-    leaders = usable.join(classes, (usable["id"] == classes["class"]) & (usable["f1"] == classes["f1"]) & (usable["f2"] == classes["f2"])).select(usable["id"], usable["n"], "bands", "sketch").dropDuplicates(["id", "n"])
+    classes = materialise(usable.groupBy("class").agg(F.min("id").alias("first")), "near-classes")
+    leaders = usable.join(classes, (usable["id"] == classes["first"]) & (usable["class"] == classes["class"])).select(usable["class"].alias("id"), usable["n"], "bands", "sketch", "first").dropDuplicates(["id"])
     leaders = materialise(leaders, "near-leaders")
     bands = leaders.select("id", F.explode("bands").alias("bucket"))
-    shared_buckets = bands.groupBy("bucket").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "first")
+    shared_buckets = bands.groupBy("bucket").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket", "least")
     bands = materialise(bands.join(shared_buckets, "bucket"), "near-buckets")
-    stars = materialise(bands.where("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
+    stars = materialise(bands.where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "near-stars")
     sketches = leaders.select("id", "n", "sketch")
     least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / HASHES + (1.1 / math.sqrt(4 * HASHES)) ** 2 / 2)
     bits = most_bits(max(0.0, least))
-    ids = materialise(stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct(), "near-ids")
-    sets = materialise(sets_of(texts.where("id IS NOT NULL"), ids, words), "near-sets")
+    met = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    wanted = materialise(leaders.select("id", "first").join(met, "id").select(F.col("id").alias("class"), "first"), "near-wanted")
+    sets = materialise(sets_of(texts.where("id IS NOT NULL"), wanted, words), "near-sets")
 
     def side(name: str) -> DataFrame:
         return sketches.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
     differing = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     likely = stars.join(side("a"), "a").join(side("b"), "b").where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (differing <= bits)).select("a", "b")
-    links = materialise(confirm(likely, sets, percent), "near-links")
-    labels = connected_components(links)
-    more = materialise(search_again(bands.select("id", "bucket"), labels, sketches.select("id", "sketch"), sets, percent, bits), "near-more")
-    if not more.isEmpty():
-        labels = connected_components(links.union(more))
-    placed = found.join(classes, ["f1", "f2", "n"], "left").withColumn("class", F.when(F.col("id").isNotNull(), F.coalesce("class", "id")))
-    placed = placed.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    component = F.coalesce("component", "class")
+    # Classes of one id belong together, whatever their similarity.
+    several = usable.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z")
+    of_one = usable.select("id", F.col("class").alias("b")).join(several, "id").where("a <> b").select("a", "b").distinct()
+    links = materialise(confirm(likely, sets, percent).union(of_one), "near-links")
+    labels = joined(links, bands.select("id", "bucket"), sketches, sets, percent, bits).withColumnRenamed("node", "class")
+    reached = labels.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
+    named = materialise(labels.join(reached, "component").select("class", "component_id"), "near-components")
+    placed = found.join(classes, "class", "left").join(named, "class", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "first", "id"))
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
