@@ -359,8 +359,8 @@ def removals(docs: DataFrame, percent: int, least: int) -> DataFrame:
     return gone.groupBy("id", "key").agg(F.collect_list("line").alias("gone"))
 
 
-def dedup(docs: DataFrame, percent: int = 80, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with text_col replaced by the kept lines, and n_lines, removed (sorted line numbers).
+def dedup(docs: DataFrame, percent: int = 80, least: int = 1, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "removed")) -> DataFrame:
+    """All columns of docs, with text_col replaced by the kept lines, and n_lines, removed (sorted line numbers), called by `names`.
 
     Lines are cut at \\n. A line of at least `least` distinct words (lower-cased, parts between ASCII white space) is
     removed if an earlier line of the corpus, in order of id and line number, has a set of words with
@@ -368,12 +368,12 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 1, id_col: str = "doc
     compared within their row. Lines of fewer words are never removed and remove nothing, nor are lines without a word.
     n_lines counts lines with a word. A null text stays null and has no lines. Rows with a null id are
     kept as they are and remove nothing. Repeated rows are one document: what goes from one goes from all. Existing columns
-    n_lines and removed are replaced. An empty table gives no rows. Words stand as 64-bit hashes and sets of words as the
+    of these names are replaced. An empty table gives no rows. Words stand as 64-bit hashes and sets of words as the
     sums of these and of their squares: among n distinct words or sets two are taken for one with a probability of about
     n**2 / 2**65 (for 10**9 words 0.03). A worker holds a text and some 12 bytes for each of its bytes at a time.
     """
     prepare(docs.sparkSession)
-    docs = docs.drop("n_lines", "removed")
+    docs = docs.drop(*names)
     keyed = docs.select("*", F.col(id_col).cast("long").alias("line dedup id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("line dedup key"))
     plain = keyed.select(F.col("line dedup id").alias("id"), F.col("line dedup key").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gone = removals(plain, percent, least)
@@ -386,4 +386,4 @@ def dedup(docs: DataFrame, percent: int = 80, least: int = 1, id_col: str = "doc
     text = F.col(text_col).cast("string")
     kept = F.when(lost.isNull(), text).otherwise(F.array_join(F.transform(staying, lambda i: F.get(parts, i)), "\n"))
     worded = F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*"))
-    return joined.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns), worded.cast("long").alias("n_lines"), F.sort_array(F.coalesce(lost, F.array().cast("array<int>"))).alias("removed"))
+    return joined.select(*(kept.alias(c) if c == text_col else F.col(c) for c in docs.columns), worded.cast("long").alias(names[0]), F.sort_array(F.coalesce(lost, F.array().cast("array<int>"))).alias(names[1]))

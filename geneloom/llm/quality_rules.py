@@ -24,7 +24,7 @@ from .common import Batches, added, as_text, bounded_sample, prepare, texts_of,
 SYMBOLS = "#*$%&|<>"
 UPPER = bytes(range(ord("A"), ord("Z") + 1))
 LETTERS = UPPER + UPPER.lower()
-LETTER_WORD = re.compile(rb"[^\x20\x09-\x0D]*?[A-Za-z\x80-\xff][^\x20\x09-\x0D]*")
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]")
 
 
 class Features:
@@ -86,7 +86,7 @@ class Features:
     @cached_property
     def n_letter_words(self) -> int:
         """Words with an ASCII letter or a character beyond ASCII."""
-        return len(LETTER_WORD.findall(self.raw))
+        return sum(1 for found in map(LETTER.search, self.words) if found)
 
 
 @dataclass(frozen=True)
@@ -108,17 +108,26 @@ RULES = (
 )
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 400) -> dict[str, tuple[float, float]]:
+def measure(docs: DataFrame, rules: tuple[Rule, ...], text_col: str = "text", sample_rows: int = 400, counted: bool = False) -> dict[str, tuple[float, float]]:
     """Rule -> (seconds a document, share rejected) on a sample of at most sample_rows documents.
 
-    Rules run on fresh features in turn, so that each bears the whole cost of what it needs. The sample is the only
-    bounded part: it decides the order of the rules and nothing else.
+    Rules run on fresh features in turn, so that each bears the whole cost of what it needs. With `counted` the features
+    that counts() reads are there already and documents that a base rule rejects are left out, as in judge with counts. The
+    sample is the only bounded part: it decides the order of the rules and nothing else.
     """
     texts, found = bounded_sample(docs.select(as_text(docs, text_col)), sample_rows, 1 << 16), {}
+    if counted:
+        texts = [t for t in texts if first_rejection(Features(t), BASE_RULES) is None]
     for rule in rules if texts else ():
-        began = time.perf_counter()
-        rejected = sum(rule.rejects(Features(t)) for t in texts)
-        found[rule.name] = ((time.perf_counter() - began) / len(texts), rejected / len(texts))
+        seconds = rejected = 0.0
+        for t in texts:
+            f = Features(t)
+            if counted:
+                base_counts(f)
+            began = time.perf_counter()
+            rejected += rule.rejects(f)
+            seconds += time.perf_counter() - began
+        found[rule.name] = (seconds / len(texts), rejected / len(texts))
     return found
 
 
@@ -132,22 +141,27 @@ def first_rejection(features: Features, cascade: tuple[Rule, ...]) -> str | None
     return next((r.name for r in cascade if r.rejects(features)), None)
 
 
-def judge(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400) -> DataFrame:
-    """All columns of docs and `kept`; with counts, only the id, the counts, base_failed and kept.
+def base_counts(f: Features) -> tuple[int, int, int, int, int]:
+    return f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words
+
+
+def judge(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 400, verdict_col: str = "kept") -> DataFrame:
+    """All columns of docs and verdict_col; with counts, only the id, the counts, base_failed and kept.
 
     A null or empty text has no words and is rejected. Null ids, ties and repeated rows pass through, a verdict each.
     With counts, every count is computed for every row and only documents that pass the base rules enter the cascade
-    of the others; else base rules are part of the cascade. No shuffle. An existing column `kept` is replaced.
+    of the others; else base rules are part of the cascade. No shuffle. An existing column of the verdict's
+    name is replaced. The work on a text grows in proportion to its length, also if it is one word.
     """
     prepare(docs.sparkSession)
     rules = RULES if counts else (*BASE_RULES, *RULES)
-    cascade = plan(rules, measure(docs, rules, text_col, sample_rows))
+    cascade = plan(rules, measure(docs, rules, text_col, sample_rows, counts))
 
     @tidied
     def verdicts(batches: Batches):
         for b in batches:
             kept = [first_rejection(Features(t), cascade) is None for t in texts_of(b.column(text_col))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], [*b.schema.names, "kept"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kept, pa.bool_())], [*b.schema.names, verdict_col])
 
     @tidied
     def all_counts(batches: Batches):
@@ -156,7 +170,7 @@ def judge(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_co
             for t in texts_of(b.column(1)):
                 f = Features(t)
                 failed = any(r.rejects(f) for r in BASE_RULES)
-                rows.append((f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, failed, not failed and first_rejection(f, cascade) is None))
+                rows.append((*base_counts(f), failed, not failed and first_rejection(f, cascade) is None))
             kinds = (*[pa.int64()] * 5, pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names)
 
@@ -164,5 +178,5 @@ def judge(docs: DataFrame, counts: bool = False, id_col: str = "doc_id", text_co
         names = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
         kind = docs.schema[id_col].dataType.simpleString()
         return docs.select(docs[id_col], as_text(docs, text_col)).mapInArrow(all_counts, f"`{id_col}` {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
-    docs = docs.drop("kept")
-    return docs.mapInArrow(verdicts, added(docs, "kept", T.BooleanType()))
+    docs = docs.drop(verdict_col)
+    return docs.mapInArrow(verdicts, added(docs, verdict_col, T.BooleanType()))

@@ -55,11 +55,15 @@ def fields(data: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces, scores and types of a model file."""
 
-    LIMIT, SHORT = 100_000, 48
+    LIMIT, SHORT, CHARS = 100_000, 48, 1 << 20
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
-            raw = [dict(fields(v)) for n, v in fields(f.read()) if n == 1]
+            whole = list(fields(f.read()))
+        raw = [dict(fields(v)) for n, v in whole if n == 1]
+        normal = {k: v for n, v in whole if n == 3 for k, v in fields(v)}  # 2: character map, 3: space before, 4: spaces drawn together, 5: marks for spaces
+        if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1):
+            raise ValueError("the model's normalizer changes texts or sets no mark, which is not built here")
         self.pieces = [p[1].decode() for p in raw]
         kinds = [p.get(3, NORMAL) for p in raw]
         scores = [struct.unpack("<f", p[2])[0] for p in raw]
@@ -129,7 +133,18 @@ class PieceModel:
             yield word, ids[::-1]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """int32 ids of each text. The ids (as bytes) of short words used in the last batches are kept, up to two times LIMIT."""
+        """int32 ids of each text. The trie is that of all words of about CHARS characters of texts, a longer text being one such part."""
+        out: list[np.ndarray] = []
+        begin = total = 0
+        for i, t in enumerate(texts):
+            if total and total + len(t) > self.CHARS:
+                out += self.encode_part(texts[begin:i])
+                begin, total = i, 0
+            total += len(t)
+        return out + self.encode_part(texts[begin:])
+
+    def encode_part(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids (as bytes) of short words used in the last parts are kept, up to two times LIMIT."""
         if len(self.known) > self.LIMIT:
             self.known, self.older = {}, self.known
         cut = [self.words.findall((MARK + t.replace(MARK, OWN_MARK).replace(" ", MARK)) if t else "") for t in texts]
@@ -197,15 +212,20 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_ids, ids_sha256 (little-endian int32), decoded_sha256, round_trip (the ids decode to the text)."""
+    """Per row: id, n_ids, ids_sha256 (little-endian int32), decoded_sha256, round_trip (the ids decode to the text).
+
+    A null or empty text has no ids and decodes to the empty text; null ids, ties and repeated rows pass through, one row
+    each; other columns are not read. An empty table gives no rows. A worker holds a batch of texts, bounded by bytes, and
+    some 80 bytes a word of about PieceModel.CHARS characters of it, or of one longer text.
+    """
+    prepare(docs.sparkSession)
 
     @tidied
     def run(batches: Batches):
         pieces = model(model_path)
         for b in batches:
-            rows = []
-            for t in texts_of(b.column(1)):
-                (ids,) = pieces.encode([t])
+            rows, texts = [], texts_of(b.column(1))
+            for t, ids in zip(texts, pieces.encode(texts), strict=True):
                 again = pieces.decode(ids)
                 rows.append((len(ids), sha256_hex(ids.tobytes()), sha256_hex(again.encode()), again == t))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())

@@ -8,8 +8,10 @@ begin or end tokens, no truncation or padding.
 
 from __future__ import annotations
 
+import heapq
 import json
-from functools import lru_cache
+from collections import Counter
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,9 @@ def byte_alphabet() -> list[str]:
 class RankMerger:
     """Counts the symbols left of each byte string once all its merges are done."""
 
+    #: Longer sequences would keep a round of the whole array going for each of their merges.
+    LONG = 512
+
     def __init__(self, vocab: dict[str, int], merges: list) -> None:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
         self.size = max(vocab.values()) + 2
@@ -49,7 +54,45 @@ class RankMerger:
         hit = self.keys[at] == key
         return np.where(hit, self.ranks[at], self.none), self.made[at]
 
+    @cached_property
+    def table(self) -> dict[int, tuple[int, int]]:
+        """key of a pair -> (rank, merged symbol)."""
+        return dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.made.tolist())))
+
+    def count_long(self, word: bytes) -> int:
+        """The count of one long sequence, of which a round would change little: its pairs wait in a heap, by rank and place."""
+        symbols = self.base[np.frombuffer(word, np.uint8)].tolist()
+        table, size, n = self.table, self.size, len(symbols)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(*found, i) for i in range(n - 1) if (found := table.get(symbols[i] * size + symbols[i + 1]))]
+        heap = [(rank, i, made) for rank, made, i in heap]
+        heapq.heapify(heap)
+        left = n
+        while heap:
+            _, i, made = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] < 0 or j < 0 or table.get(symbols[i] * size + symbols[j], (0, -1))[1] != made:
+                continue  # one of the two has been merged since
+            symbols[i], symbols[j], left = made, -1, left - 1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (found := table.get(symbols[a] * size + symbols[b])):
+                    heapq.heappush(heap, (found[0], a, found[1]))
+        return left
+
     def count(self, words: list[bytes]) -> np.ndarray:
+        out = np.empty(len(words), np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        for i in np.flatnonzero(lengths > self.LONG).tolist():
+            out[i] = self.count_long(words[i])
+        short = np.flatnonzero(lengths <= self.LONG)
+        if len(short):
+            out[short] = self.count_short([words[i] for i in short.tolist()])
+        return out
+
+    def count_short(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], np.int64)
         out = lengths.copy()
         symbols = self.base[np.frombuffer(b"".join(words), np.uint8)]
@@ -82,7 +125,7 @@ class RankMerger:
 class TokenCounter:
     """Counts tokens of whole texts; keeps the counts of the pre-tokens seen, of short ones and up to a bounded number."""
 
-    LIMIT, SHORT = 200_000, 64
+    LIMIT, SHORT, LONG_TEXT = 200_000, 64, 1 << 20
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -95,11 +138,11 @@ class TokenCounter:
         self.special = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         self.words, self.known = regex.compile(PRE_TOKEN), {}
 
-    def split(self, text: str) -> tuple[list[str], int]:
-        """Pre-tokens, and the number of special strings between them."""
-        if self.special is None or not self.special.search(text):
-            return self.words.findall(text), 0
-        parts = self.special.split(text)
+    def split(self, text: str) -> tuple[list[str] | Counter, int]:
+        """Pre-tokens, of a long text with their numbers, and the number of special strings between them."""
+        parts = self.special.split(text) if self.special is not None and self.special.search(text) else [text]
+        if len(text) > self.LONG_TEXT:
+            return Counter(m.group() for p in parts for m in self.words.finditer(p)), len(parts) - 1
         return [w for p in parts for w in self.words.findall(p)], len(parts) - 1
 
     def __call__(self, texts: list[str]) -> list[int]:
@@ -116,7 +159,10 @@ class TokenCounter:
             for w, n in zip(part, self.merger.count([w.encode() for w in part]).tolist()):
                 (known if len(w) <= self.SHORT else long)[w] = n
         for words, special in todo:
-            out.append(special + sum(known[w] if w in known else long[w] for w in words))
+            if isinstance(words, Counter):
+                out.append(special + sum(n * (known[w] if w in known else long[w]) for w, n in words.items()))
+            else:
+                out.append(special + sum(known[w] if w in known else long[w] for w in words))
         return out
 
 

@@ -24,8 +24,8 @@ PATTERN_RULES = (
     (r"[?&]utm_campaign=(ads|promo)(&|#|$)", ("utm", "campaign")),
     (r"/(login|signin)\.php([?#]|$)", ("php",)),
 )
-#: At most so many pattern rules (and host/path rules) are held as a constant of the plan.
-MAX_RULES = 5_000
+#: At most so many pattern rules (and host/path rules) are held as a constant of the plan; more become tables that are joined.
+MAX_RULES = 2_000
 
 
 @dataclass(frozen=True)
@@ -58,8 +58,6 @@ def tokens_of(url: Column) -> Column:
 
 def domain_rule(host: Column, path: Column, rules=DOMAIN_RULES) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits, or nulls. Rules are tried longest first (host, then path)."""
-    if len(rules) > MAX_RULES:
-        raise ValueError("too many host/path rules for one plan")
     ordered = sorted(rules, key=lambda r: (-(len(r[1]) + len(r[2])), r))
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, h, p in reversed(ordered):
@@ -87,8 +85,6 @@ def rule_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str, lis
 
 def any_pattern(url: Column, index: dict[str, list[str]]) -> Column:
     """Whether a candidate pattern of the url's tokens is found in it. The index is a constant array of hash buckets."""
-    if sum(map(len, index.values())) > MAX_RULES:
-        raise ValueError("too many pattern rules for one plan")
     keyed = {k: v for k, v in index.items() if k}
     found = F.lit(False)
     for p in index.get("", []):
@@ -102,20 +98,56 @@ def any_pattern(url: Column, index: dict[str, list[str]]) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+def suffixes_of(host: Column) -> Column:
+    """The host and all domains above it."""
+    labels = F.split(host, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+
+
+def fitted_by_table(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """(url, rule, fitted) of the urls (url, host, path) that a rule (own, verdict, path) fits, for lists of any length.
+
+    A url's host and the domains above it fetch the rules filed under them; the longest that fits is a partial aggregate.
+    """
+    met = urls.select("url", "path", F.explode(suffixes_of(F.col("host"))).alias("own")).join(rules.withColumnRenamed("path", "begin"), "own").where(F.expr("startswith(path, begin)"))
+    first = F.min(F.struct((-(F.length("own") + F.length("begin"))).alias("size"), "verdict", "own", "begin"))
+    return met.groupBy("url").agg(first.alias("r")).select("url", F.concat("r.own", "r.begin").alias("rule"), F.col("r.verdict").alias("fitted"))
+
+
+def matched_by_table(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(url) of those in which a pattern (token, pattern) filed under one of the url's tokens is found."""
+    met = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(patterns, "token")
+    return met.where(F.call_function("regexp_like", F.col("url"), F.col("pattern"))).select("url").distinct()
+
+
 def judge_urls(pages: DataFrame, domain_rules=DOMAIN_RULES, pattern_rules=PATTERN_RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: id, host, path, rule, verdict.
 
     A null url, or one without ://, has an empty host and path, fits no rule and gets the default verdict, as no
     pattern is run on null. Repeated rows and null ids pass through. Other columns are not read. The counts of the
-    rules' literals take one pass with a partial aggregate (its result is bounded by the rules); judging takes no
-    shuffle. The rules are held in the plan, at most MAX_RULES of either kind.
+    rules' literals take one pass with a partial aggregate (its result is bounded by the rules). Up to MAX_RULES rules of
+    a kind are held in the plan, and judging takes no shuffle. More rules are a table to which the distinct urls
+    are joined by their domains and tokens; patterns without a literal are run on every url, as there is no other way.
     """
+    spark = pages.sparkSession
     rules = tuple(r if isinstance(r, Rule) else Rule(r[0], tuple(r[1])) for r in pattern_rules)
     index = rule_index(rules, literal_counts(pages, url_col, rules))
     url = F.col("url")
-    name, verdict = domain_rule(F.col("host"), F.col("path"), domain_rules)
     base = pages.select(pages[id_col].alias("id"), pages[url_col].cast("string").alias("url"))
     base = base.select("id", "url", host_of(url).alias("host"), path_of(url).alias("path"))
-    base = base.select("id", "url", "host", "path", name.alias("rule"), verdict.alias("fitted"))
-    pattern = F.when(any_pattern(url, index), F.lit("block")).otherwise(F.lit(default))
+    distinct = base.where("url IS NOT NULL").select("url", "host", "path").distinct()
+    if len(domain_rules) > MAX_RULES:
+        listed = spark.createDataFrame([(h, v, p) for v, h, p in domain_rules], "own string, verdict string, path string")
+        base = base.join(fitted_by_table(distinct, listed), "url", "left").select("id", "url", "host", "path", "rule", "fitted")
+    else:
+        name, verdict = domain_rule(F.col("host"), F.col("path"), domain_rules)
+        base = base.select("id", "url", "host", "path", name.alias("rule"), verdict.alias("fitted"))
+    if len(rules) > MAX_RULES:
+        filed = spark.createDataFrame([(t, p) for t, ps in index.items() if t for p in ps], "token string, pattern string")
+        found = matched_by_table(distinct.select("url"), filed).withColumn("found", F.lit(True))
+        base = base.join(found, "url", "left")
+        blocked = F.coalesce(F.col("found"), any_pattern(url, {"": index.get("", [])}))
+    else:
+        blocked = any_pattern(url, index)
+    pattern = F.when(blocked, F.lit("block")).otherwise(F.lit(default))
     return base.select(F.col("id").alias(id_col), "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("fitted")).otherwise(pattern).alias("verdict"))

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -84,3 +85,21 @@ def test_query_matches_sql(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_windows_need_three_words(n):
     assert Q.Features("a " * n).n_repeat_words == 0
+
+
+@pytest.mark.parametrize("text", ["7" * 1_000_000, "=" * 999_999 + "a", "é" * 400_000, "x " * 500_000])
+def test_long_texts_take_time_in_proportion(text):
+    """One word of a million characters: a search that starts again at each of them would never end."""
+    f = Q.Features(text)
+    began = time.perf_counter()
+    Q.first_rejection(f, (*Q.RULES, *Q.BASE_RULES))
+    assert Q.base_counts(f)[0] == len(text.split())
+    assert f.n_letter_words == sum(1 for w in text.split() if any(c.isalpha() for c in w))
+    assert time.perf_counter() - began < 20
+
+
+def test_measure_leaves_out_what_the_base_rules_reject(spark):
+    junk, prose = "few *** words", " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    rows = table(spark, [(i, junk if i % 2 else prose) for i in range(200)])
+    assert Q.measure(rows, Q.RULES, counted=True)["symbols"][1] == 0
+    assert Q.measure(rows, Q.RULES)["symbols"][1] > 0

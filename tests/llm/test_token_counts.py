@@ -51,5 +51,29 @@ def test_long_texts_and_a_full_memory(counter, library):
     assert all(len(w) <= counter.SHORT for w in counter.known)
 
 
+def test_long_sequences_merge_as_short_ones_do(counter):
+    """The heap for one long sequence and the rounds for many short ones give the same counts."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoin shr") for _ in range(rng.randrange(1, 200))).encode() for _ in range(200)] + [b"a" * n for n in range(1, 40)]
+    assert [counter.merger.count_long(w) for w in words] == counter.merger.count_short(words).tolist()
+
+
+def test_one_long_word_takes_time_in_proportion(counter, library):
+    import random
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    began = time.perf_counter()
+    (n,) = counter([word])
+    assert time.perf_counter() - began < 120
+    part = word[:20_000]
+    assert counter([part]) == [len(library.encode(part, add_special_tokens=False).ids)] and n > 300_000
+    text = " ".join(word[i : i + 5] for i in range(0, 1_000_000, 5)) + "<|endoftext|>x"
+    assert len(text) > counter.LONG_TEXT and counter([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
 def test_empty_table(spark):
     assert count_tokens(table(spark, []), PATH).collect() == []

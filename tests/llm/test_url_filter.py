@@ -51,6 +51,21 @@ def test_rules_without_literals_and_literals_without_match(spark):
     assert [r["verdict"] for r in found] == ["block", "block", "allow", "allow", "allow"]
 
 
+def test_long_lists_of_rules_as_tables(spark, monkeypatch):
+    """Above MAX_RULES the same verdicts come from joins, and of rules of equal length the same one wins."""
+    urls = [*URLS, *URLS, "http://m7.example/x/1", "http://a.m7.example/x", "http://am7.example/x", "http://h9.t/p"]
+    domains = (*U.DOMAIN_RULES, *(("block" if i % 2 else "allow", f"m{i}.example", "/x" if i % 3 else "") for i in range(40)), ("allow", "9.t", "/p"), ("block", "h9.t", "/"))
+    patterns = (*U.PATTERN_RULES, (r"\d{4}", ()), *((rf"/nothing{i}$", (f"nothing{i}",)) for i in range(40)))
+    expected = U.judge_urls(pages(spark, urls), domains, patterns).orderBy("page_id").collect()
+    monkeypatch.setattr(U, "MAX_RULES", 10)
+    found = U.judge_urls(pages(spark, urls), domains, patterns)
+    assert found.orderBy("page_id").collect() == expected
+    assert {r["rule"] for r in expected} >= {"m7.example/x", "net/", None}
+    plain = U.judge_urls(pages(spark, urls)).orderBy("page_id").collect()
+    monkeypatch.setattr(U, "MAX_RULES", 1)
+    assert U.judge_urls(pages(spark, urls)).orderBy("page_id").collect() == plain
+
+
 def test_plan_has_no_python_and_no_shuffle(spark, capsys):
     U.judge_urls(pages(spark, URLS)).explain()
     plan = capsys.readouterr().out
