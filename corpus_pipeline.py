@@ -11,6 +11,8 @@ from geneloom.llm.queries import tokenizer_path
 
 #: Near-duplicate stages take five-word shingles and this similarity, in percent.
 SHINGLE_WORDS, SIMILARITY = 5, 80
+#: Names of columns that the stages add for themselves, chosen so that no table's own columns have them.
+VERDICT, LINE_COLUMNS = "quality verdict", ("line count", "lines removed")
 
 
 def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -22,13 +24,13 @@ def with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    return quality_rules.judge(docs).where("kept").select(*docs.columns)
+    return quality_rules.judge(docs, verdict_col=VERDICT).where(F.col(VERDICT)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of any size like an earlier one go, and documents of which no line with a word is left."""
-    rows = line_dedup.dedup(docs, SIMILARITY, least=1)
-    emptied = (F.size("removed") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = line_dedup.dedup(docs, SIMILARITY, names=LINE_COLUMNS)
+    emptied = (F.size(F.col(LINE_COLUMNS[1])) > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return with_text(rows.where(~emptied), docs.columns)
 
 
@@ -45,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with the ids of their pieces."""
+    """The documents with the ids of their pieces, in a column that replaces one of its name."""
     return sentence_pieces.encode(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
