@@ -9,8 +9,8 @@ two sketches estimates their similarity, most precisely where it is high. Classe
    are found.
 2. Buckets that still hold several components are searched again, in rounds: each class outside the bucket's largest
    component is held against the one of another component with the most similar sketch, until a round finds no link;
-   then against all of other components. Large buckets are cut into blocks of BLOCK classes; only sketches are dealt
-   there, and full sets where a pair is confirmed.
+   then against all of other components, by sketch and, where that allows it, by full set, in a kernel that returns at most
+   the links that join components. Large buckets are cut into blocks of BLOCK classes.
 
 A pair at the threshold shares no band with a probability of 6e-6, and a more similar one with less.
 """
@@ -31,7 +31,6 @@ from .substring_dedup import Words, mix, slices, texts_as_bytes
 
 HASHES, ROWS, SKETCH_BITS = 240, 6, 512
 BLOCK = 1_000
-PAIRS_A_BATCH = 100_000
 #: Sets of so many classes at most are fetched by a broadcast of their ids (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _seed = np.random.default_rng(20240501)
@@ -187,63 +186,111 @@ def open_buckets(bands: DataFrame, labels: DataFrame, sketches: DataFrame) -> Da
     return own.join(several.select("bucket", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket").join(sketches, "id")
 
 
-def across(own: DataFrame, percent: int, bits: int, salt: int | None = None) -> DataFrame:
-    """(a, b) of classes in different components of a bucket whose sizes and sketches allow the similarity.
+class Members:
+    """The classes of a block of a bucket, as arrays."""
 
-    With a salt each class outside the main component gets its most promising partner in its own block; without one
-    it goes to all blocks of its bucket and gets all partners. Only sketches are dealt, no sets.
+    def __init__(self, rows: pa.Table, percent: int, bits: int) -> None:
+        self.percent, self.bits = percent, bits
+        self.ids, self.comps, self.n, self.asks = (rows.column(c).to_numpy() for c in ("id", "component", "n", "asks"))
+        self.sketch = self.matrix(rows, "sketch").view(np.uint64)
+
+    @staticmethod
+    def matrix(rows: pa.Table, name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+
+    def partners(self, x: int, among: np.ndarray) -> np.ndarray:
+        """Those in other components whose size and sketch allow the similarity, the most promising first."""
+        n = self.n[among]
+        at = among[(100 * np.minimum(n, self.n[x]) >= self.percent * np.maximum(n, self.n[x])) & (self.comps[among] != self.comps[x])]
+        count = np.bitwise_count(self.sketch[at] ^ self.sketch[x]).sum(1)
+        return at[np.lexsort((self.ids[at], count))][: int((count <= self.bits).sum())]
+
+
+MEMBER = "bucket long, block int, asks boolean, id long, component long, n long, sketch array<long>"
+
+
+def likely_partners(own: DataFrame, percent: int, bits: int, salt: int) -> DataFrame:
+    """(a, b): each class outside its bucket's main component with its most promising partner in its block. Only sketches are dealt."""
+    listed = own.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")).cast("int")).withColumn("asks", F.col("component") != F.col("main"))
+
+    def best(rows: pa.Table) -> pa.Table:
+        m = Members(rows.combine_chunks(), percent, bits)
+        every = np.arange(len(m.ids))
+        pairs = [(int(m.ids[x]), int(m.ids[at[0]])) for x in np.flatnonzero(m.asks).tolist() if len(at := m.partners(x, every))]
+        return pa.table({"a": pa.array([min(p) for p in pairs], pa.int64()), "b": pa.array([max(p) for p in pairs], pa.int64())})
+
+    return listed.select("bucket", "block", "asks", "id", "component", "n", "sketch").groupBy("bucket", "block").applyInArrow(best, "a long, b long").distinct()
+
+
+def remaining_links(own: DataFrame, bands: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(a, b): links that join all components of a bucket that are linked, a spanning choice for each block of a bucket.
+
+    Classes outside the main component go to all blocks of their bucket. First, by sketch alone, only those with a
+    partner stay; these then get their sets, and pairs are confirmed in place, each in the first bucket that its two
+    classes share. No list of pairs is made.
     """
-    block = F.pmod(F.xxhash64("id", F.lit(salt or 0)), F.col("blocks")).cast("int")
-    asks, listed = F.col("component") != F.col("main"), own.withColumn("block", block)
-    if salt is None:
-        every = own.where(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
-        listed = listed.withColumn("asks", F.lit(False)).unionByName(every)
-    else:
-        listed = listed.withColumn("asks", asks)
-
-    def partners(batches: Batches) -> Batches:
-        rows = pa.Table.from_batches(list(batches)).combine_chunks()
-        ids, comps, n, asks = (rows.column(c).to_numpy() for c in ("id", "component", "n", "asks"))
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
-        held = np.arange(len(ids)) if salt is not None else np.flatnonzero(~asks)
-        out, size = [], 0
-        for x in np.flatnonzero(asks).tolist():
-            at = held[(100 * np.minimum(n[held], n[x]) >= percent * np.maximum(n[held], n[x])) & (comps[held] != comps[x])]
-            count = np.bitwise_count(sketch[at] ^ sketch[x]).sum(1)
-            at, count = at[count <= bits], count[count <= bits]
-            if salt is not None and len(at):
-                at = at[[int(np.lexsort((ids[at], count))[0])]]
-            if len(at):
-                out.append(np.stack([np.minimum(ids[at], ids[x]), np.maximum(ids[at], ids[x])]))
-                size += len(at)
-            if size > PAIRS_A_BATCH:
-                yield pairs_batch(out)
-                out, size = [], 0
-        if out:
-            yield pairs_batch(out)
-
-    return listed.select("bucket", "block", "asks", "id", "component", "n", "sketch").groupBy("bucket", "block").applyInArrow(partners, "a long, b long").distinct()
-
-
-def pairs_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
-
-
-def joined(links: DataFrame, bands: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    asks = F.col("component") != F.col("main")
+    every = own.where(asks).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True))
+    listed = own.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("asks", F.lit(False)).unionByName(every)
+
+    def with_partner(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        m = Members(rows, percent, bits)
+        among, keep = np.flatnonzero(~m.asks), np.zeros(rows.num_rows, bool)
+        for x in np.flatnonzero(m.asks).tolist():
+            at = m.partners(x, among)
+            keep[at] = True
+            keep[x] = len(at) > 0
+        return rows.filter(pa.array(keep))
+
+    def link(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        m = Members(rows, percent, bits)
+        buckets, bucket = m.matrix(rows, "bands"), rows.column("bucket")[0].as_py()
+        sets = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("shingles")]
+        among, asking, root = np.flatnonzero(~m.asks), set(m.ids[m.asks].tolist()), {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        out = []
+        for x in np.flatnonzero(m.asks).tolist():
+            at = m.partners(x, among)
+            first = (buckets[at] == buckets[x]).argmax(1) if len(at) else at
+            at = at[buckets[x][first] == bucket]
+            at = np.array([y for y in at.tolist() if not (m.ids[y] < m.ids[x] and int(m.ids[y]) in asking)], np.int64)  # where both ask, once
+            i, step = 0, 16
+            while i < len(at):
+                part = np.array([y for y in at[i : i + step].tolist() if find(int(m.comps[y])) != find(int(m.comps[x]))], np.int64)
+                i, step = i + step, min(512, 2 * step)
+                if len(part):
+                    for y in part[similar(sets[x], [sets[y] for y in part], percent)].tolist():
+                        p, q = find(int(m.comps[x])), find(int(m.comps[y]))
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            out.append((int(m.ids[x]), int(m.ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    columns = ["bucket", "block", "asks", "id", "component", "n", "sketch"]
+    wanted = materialise(listed.select(columns).groupBy("bucket", "block").applyInArrow(with_partner, MEMBER), "near-partners")
+    return wanted.join(sets, "id").join(bands, "id").select(*columns, "bands", "shingles").groupBy("bucket", "block").applyInArrow(link, "a long, b long")
+
+
+def joined(links: DataFrame, leaders: DataFrame, bands: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
     """(node, component) once all links are found: rounds of most promising partners, then all that are left."""
     labels = connected_components(links)
     for salt in itertools.count(1):
-        own = materialise(open_buckets(bands, labels, sketches), "near-open")
+        own = materialise(open_buckets(bands, labels, leaders.select("id", "n", "sketch")), "near-open")
         if own.isEmpty():
             return labels
-        tried = materialise(across(own, percent, bits, salt), "near-tried")
-        more = materialise(confirm(tried, sets, percent), "near-more")
+        more = materialise(confirm(likely_partners(own, percent, bits, salt), sets, percent), "near-more")
         if more.isEmpty():
             break
         links = links.union(more)
         labels = connected_components(links)
-    more = materialise(confirm(across(own, percent, bits).join(tried, ["a", "b"], "left_anti"), sets, percent), "near-rest")
+    more = materialise(remaining_links(own, leaders.select("id", "bands"), sets, percent, bits), "near-rest")
     return labels if more.isEmpty() else connected_components(links.union(more))
 
 
@@ -284,7 +331,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     several = usable.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z")
     of_one = usable.select("id", F.col("class").alias("b")).join(several, "id").where("a <> b").select("a", "b").distinct()
     links = materialise(confirm(likely, sets, percent).union(of_one), "near-links")
-    labels = joined(links, bands.select("id", "bucket"), sketches, sets, percent, bits).withColumnRenamed("node", "class")
+    labels = joined(links, leaders, bands.select("id", "bucket"), sets, percent, bits).withColumnRenamed("node", "class")
     reached = labels.join(classes, "class").groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialise(labels.join(reached, "component").select("class", "component_id"), "near-components")
     placed = found.join(classes, "class", "left").join(named, "class", "left")

@@ -83,7 +83,6 @@ def test_rows_of_one_id_link_by_each_text(spark):
 def test_large_buckets_in_small_blocks(spark, monkeypatch):
     """Many variants of one text around an outlier that shares bands with all: links between blocks are found."""
     monkeypatch.setattr(N, "BLOCK", 5)
-    monkeypatch.setattr(N, "PAIRS_A_BATCH", 3)
     rng = random.Random(10)
     centre, rows = words(rng, 120, 9000), []
     for i in range(50):
@@ -94,6 +93,20 @@ def test_large_buckets_in_small_blocks(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_links_that_no_most_promising_partner_gives(spark, monkeypatch):
+    """Without rounds all links between components of a bucket come from the last search."""
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "likely_partners", lambda own, *_: own.selectExpr("id AS a", "id AS b").limit(0))
+    rng = random.Random(11)
+    centre, rows = words(rng, 150, 9000), []
+    for i in range(60):
+        v = list(centre)
+        for k in rng.sample(range(150), rng.randrange(0, 20)):
+            v[k] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(v)))
+    check(spark, rows)
+
+
 def test_sketch_estimates_high_similarity():
     rng = np.random.default_rng(3)
     for j in (0.8, 0.9, 0.95):
