@@ -55,15 +55,14 @@ def extract(seq: Column, exons: Column) -> Column:
 
 def translate_codons(seq: Column) -> Column:
     """Amino acids of the whole codons by the standard code; stops are *, codons with other letters X."""
-    bases = F.translate(F.upper(seq), "U", "T")
+    codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s)..."), F.lit(0))  # cut once, so that no codon looks for its place in the text
 
-    def amino(i: Column) -> Column:
-        a, b, c = (F.instr(F.lit(BASES), F.substring(bases, i + k, F.lit(1))) for k in range(3))
+    def amino(codon: Column) -> Column:
+        a, b, c = (F.instr(F.lit(BASES), F.substring(codon, k, 1)) for k in (1, 2, 3))
         at = (a - 1) * 16 + (b - 1) * 4 + c
         return F.when((a > 0) & (b > 0) & (c > 0), F.substring(F.lit(CODE), at, F.lit(1))).otherwise(F.lit("X"))
 
-    whole = F.length(seq) - 2
-    return F.when(whole >= 1, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1)), F.lit(3)), amino), "")).otherwise(F.lit(""))
+    return F.coalesce(F.array_join(F.transform(codons, amino), ""), F.lit(""))
 
 
 def _letter_pairs(a: Column, b: Column) -> Column:

@@ -24,12 +24,12 @@ def strand_of(exons: Column) -> Column:
 
 
 def finish_genes(rows: DataFrame) -> DataFrame:
-    """GENES of rows (cluster_id, locus_id, gene_id, gene_ord, start, end, strand, exons, sequence of the record, qualifiers).
+    """GENES of rows (cluster_id, locus_id, gene_id, gene_ord, start, end, strand, bases, qualifiers); null bases are none.
 
     The translation is the qualifier's, else that of the extracted bases; of names the first value of a key counts.
     """
     names = C.first_values(F.col("qualifiers"))
-    found = rows.withColumn("all", names).withColumn("bases", F.when(F.col("sequence").isNull(), F.lit("")).otherwise(C.extract(F.col("sequence"), F.col("exons"))))
+    found = rows.withColumn("all", names).withColumn("bases", F.coalesce("bases", F.lit("")))
     kept = F.map_filter("all", lambda k, _: k != "translation")
     return found.select(
         "gene_id", "locus_id", "cluster_id", F.col("gene_ord").cast("int").alias("gene_ord"), C.label(kept, F.col("gene_id")).alias("label"), kept.alias("names"),
@@ -56,14 +56,16 @@ def tables_of_records(records: DataFrame, ranges: dict[str, tuple[int, int]] | N
     name = F.concat("cluster_name", "record_id") if as_separate_clusters else F.col("cluster_name")
     found = placed.groupBy("cluster_id").agg(F.min(order).alias("o"), F.min_by(name, "record_ord").alias("name"), F.first("source_path").alias("source_path"))
     loci = placed.select("locus_id", "cluster_id", (F.lit(0) if as_separate_clusters else F.col("record_ord")).cast("int").alias("locus_ord"), F.col("record_name").alias("name"), F.col("locus_start").cast("int").alias("start"), F.col("locus_end").cast("int").alias("end"))
-    features = placed.select("cluster_id", "locus_id", "sequence", "range_start", "range_end", F.explode("features").alias("f")).select("cluster_id", "locus_id", "sequence", "range_start", "range_end", "f.*")
-    features = features.where(F.col("type").isin("CDS", "gene")).withColumn("start", start_of(F.col("exons"))).withColumn("end", end_of(F.col("exons")))
+    # Each feature takes its own bases along, so that no copy of the record's sequence is made for it or shuffled.
+    own = F.transform(F.filter("features", lambda f: f["type"].isin("CDS", "gene")), lambda f: F.struct(*(f[n].alias(n) for n in ("feature_ord", "type", "exons", "qualifiers")), F.when(f["type"] == "CDS", C.extract(F.col("sequence"), f["exons"])).alias("bases")))
+    features = placed.select("cluster_id", "locus_id", "range_start", "range_end", F.explode(own).alias("f")).select("cluster_id", "locus_id", "range_start", "range_end", "f.*")
+    features = features.withColumn("start", start_of(F.col("exons"))).withColumn("end", end_of(F.col("exons")))
     features = features.where("range_start IS NULL OR (start >= range_start AND end <= range_end)")
     cds, genes = features.where(F.col("type") == "CDS"), features.where(F.col("type") == "gene")
     met = first_containing(cds, genes, ["locus_id"], ["locus_id", "feature_ord"], "feature_ord", ["start", "end"])
     rows = met.select(
         "cluster_id", "locus_id", C.stable_id(F.lit("gene"), F.col("locus_id"), F.col("feature_ord")).alias("gene_id"), F.col("feature_ord").alias("gene_ord"),
-        F.coalesce(F.nullif("parent_start", F.lit(0)), "start").alias("start"), F.coalesce("parent_end", "end").alias("end"), strand_of(F.col("exons")).alias("strand"), "exons", "sequence", "qualifiers",
+        F.coalesce(F.nullif("parent_start", F.lit(0)), "start").alias("start"), F.coalesce("parent_end", "end").alias("end"), strand_of(F.col("exons")).alias("strand"), "bases", "qualifiers",
     )
     return {"clusters": numbered_clusters(found), "loci": loci, "genes": finish_genes(rows)}
 

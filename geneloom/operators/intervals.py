@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +15,21 @@ def within(df: DataFrame, low: Column | int, high: Column | int, start: str = "s
     return df.where((F.col(start) >= lit(low)) & (F.col(end) <= lit(high)))
 
 
-def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: list[str], order: str, value: list[str], start: str = "start", end: str = "end", prefix: str = "parent_") -> DataFrame:
+def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: list[str], order: str, value: list[str], start: str = "start", end: str = "end", prefix: str = "parent_", bin_width: float = 10_000) -> DataFrame:
     """Each inner row with the values of the first outer row (by `order`) that contains it, or nulls.
 
-    `on` are equality keys, so that the join is dealt by record and the interval test is its residual; `row` are the
-    columns that tell inner rows apart. The first match is a partial aggregate over (row), not a window.
+    `on` are equality keys; `row` are the columns that tell inner rows apart, and may be null. An outer row is filed under
+    every bin of bin_width that it touches and an inner row looks in the bin of its start, so that a long record is dealt
+    over many keys and rows far apart never meet. The first match is a partial aggregate over (row), not a window. An inner
+    row with a null in `on`, start or end has no match.
     """
+    at = lambda c: F.floor(F.col(c) / F.lit(bin_width))
     held = outer.select(*on, F.col(start).alias("_low"), F.col(end).alias("_high"), F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in value)).alias("_outer"))
-    met = inner.select(*on, *(r for r in row if r not in on), start, end).join(held, on).where((F.col(start) >= F.col("_low")) & (F.col(end) <= F.col("_high")))
-    first = met.groupBy(*row).agg(F.min("_outer").alias("_first"))
-    return inner.join(first, row, "left").select(*inner.columns, *(F.col(f"_first.{v}").alias(prefix + v) for v in value))
+    held = held.where("_low <= _high").withColumn("_bin", F.explode(F.sequence(at("_low"), at("_high"))))
+    met = inner.select(*on, *(r for r in row if r not in on), *(c for c in (start, end) if c not in (*on, *row)), at(start).alias("_bin")).join(held, [*on, "_bin"]).where((F.col(start) >= F.col("_low")) & (F.col(end) <= F.col("_high")))
+    first = met.groupBy(*row).agg(F.min("_outer").alias("_first")).select("_first", *(F.col(r).alias(f"_row {i}") for i, r in enumerate(row)))
+    same = reduce(and_, (inner[r].eqNullSafe(F.col(f"_row {i}")) for i, r in enumerate(row)))
+    return inner.join(first, same, "left").select(*inner.columns, *(F.col(f"_first.{v}").alias(prefix + v) for v in value))
 
 
 def islands(df: DataFrame, partition: list[str], order: list[str], key: str, name: str = "island") -> DataFrame:

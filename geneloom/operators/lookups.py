@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,8 +19,17 @@ def genes_by_value(placed: DataFrame, wanted: DataFrame, value: str = "value") -
     return wanted.join(first, value)
 
 
-def gene_by_label(placed: DataFrame, label: str) -> DataFrame:
-    """The first gene with the label, one row or none."""
+def locus_text(name: Column | str = "name", start: Column | str = "start", end: Column | str = "end") -> Column:
+    """How a locus is written: its name, and its place from the first to the last base."""
+    column = lambda c: c if isinstance(c, Column) else F.col(c)
+    return F.concat(column(name), F.lit(":"), column(start).cast("string"), F.lit("-"), column(end).cast("string"))
+
+
+def gene_by_label(placed: DataFrame, label: str, cluster_id: str | None = None, locus_id: str | None = None) -> DataFrame:
+    """The first gene with the label, of one cluster or locus if that is given; one row or none."""
+    for column, value in (("cluster_id", cluster_id), ("locus_id", locus_id)):
+        if value is not None:
+            placed = placed.where(F.col(column) == value)
     return placed.where(F.col("label") == label).orderBy("place").limit(1).drop("place")
 
 

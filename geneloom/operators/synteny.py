@@ -39,6 +39,11 @@ def contiguity(links: DataFrame, alignments: DataFrame, genes: DataFrame, thresh
     return shared_pairs(*sides, ["alignment_id"])
 
 
+def weighted(sums: DataFrame, shared: DataFrame, weight: float) -> DataFrame:
+    """sums with score: the cumulative identity and weight times the contiguity, none counting as 0."""
+    return sums.join(shared, "alignment_id", "left").withColumn("score", F.col("cumulative") + F.lit(weight) * F.coalesce("contiguity", F.lit(0)))
+
+
 def synteny(links: DataFrame, alignments: DataFrame, genes: DataFrame | None = None, weight: float = 0.5, mode: str = "effective") -> DataFrame:
     """(alignment_id, query_cluster_id, target_cluster_id, score): the sum of identities and, documented, weight times the contiguity.
 
@@ -46,7 +51,7 @@ def synteny(links: DataFrame, alignments: DataFrame, genes: DataFrame | None = N
     """
     scored = alignments.join(link_sums(links, alignments), "alignment_id")
     if mode == "documented":
-        scored = scored.join(contiguity(links, alignments, genes), "alignment_id", "left").withColumn("score", F.col("cumulative") + F.lit(weight) * F.coalesce("contiguity", F.lit(0)))
+        scored = weighted(scored, contiguity(links, alignments, genes), weight)
     elif mode == "effective":
         scored = scored.withColumn("score", F.col("cumulative"))
     else:

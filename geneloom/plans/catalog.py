@@ -136,25 +136,15 @@ def identity_filter(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "interval_containment_first",
     """SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity, l.l_extendedprice, min(p.p_partkey) AS parent_p_partkey
-       FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_suppkey % 50 AS g FROM lineitem WHERE l_orderkey % 10 = 3) l
+       FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_suppkey % 50 AS g FROM lineitem) l
        LEFT JOIN (SELECT p_partkey, p_partkey % 50 AS g, p_size FROM part) p ON p.g = l.g AND l.l_linenumber >= p.p_size / 10.0 AND l.l_quantity <= p.p_size + 10
        GROUP BY ALL""",
 )
 def interval_containment_first(spark: SparkSession, d: str) -> DataFrame:
-    return first_containing_part(spark, d, t(spark, d, "lineitem").where("l_orderkey % 10 = 3"))
-
-
-@query("interval_containment_first_all")
-def interval_containment_first_all(spark: SparkSession, d: str) -> DataFrame:
-    """All of lineitem; the SQL of interval_containment_first takes a tenth. Tests hold it against brute force."""
-    return first_containing_part(spark, d, t(spark, d, "lineitem"))
-
-
-def first_containing_part(spark: SparkSession, d: str, lineitem: DataFrame) -> DataFrame:
     row = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
-    inner = lineitem.select(*row).distinct().withColumn("g", F.col("l_suppkey") % 50)
+    inner = t(spark, d, "lineitem").select(*row).distinct().withColumn("g", F.col("l_suppkey") % 50)
     outer = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 50).alias("g"), (F.col("p_size") / 10.0).alias("l_linenumber"), (F.col("p_size") + 10).alias("l_quantity"))
-    return intervals.first_containing(inner, outer, ["g"], row, "p_partkey", ["p_partkey"], "l_linenumber", "l_quantity").drop("g")
+    return intervals.first_containing(inner, outer, ["g"], row, "p_partkey", ["p_partkey"], "l_linenumber", "l_quantity", bin_width=2).drop("g")
 
 
 @query("cluster_pairs", "SELECT a.n_nationkey AS query_ord, b.n_nationkey AS target_ord FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey")
@@ -182,37 +172,31 @@ def pairs_not_yet_aligned(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "gene_cross_pairs",
     """SELECT a.s_suppkey AS query_key, b.s_suppkey AS target_key, row_number() OVER (PARTITION BY a.s_nationkey, b.s_nationkey ORDER BY a.s_suppkey, b.s_suppkey) - 1 AS link_ord
-       FROM supplier a JOIN supplier b ON a.s_nationkey < b.s_nationkey AND a.s_nationkey < 3 AND b.s_nationkey < 5""",
+       FROM supplier a JOIN supplier b ON a.s_nationkey < b.s_nationkey""",
 )
 def gene_cross_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return crossed(spark, d, similarity_join.cluster_pairs(nation_clusters(spark, d)).where("query_ord < 3 AND target_ord < 5"))
-
-
-@query("gene_cross_pairs_all")
-def gene_cross_pairs_all(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of nations; the SQL of gene_cross_pairs takes nine. Tests hold it against brute force."""
-    return crossed(spark, d, similarity_join.cluster_pairs(nation_clusters(spark, d)))
-
-
-def crossed(spark: SparkSession, d: str, pairs: DataFrame) -> DataFrame:
-    s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("cluster"))
-    a, b = s.select(F.col("key").alias("query_key"), F.col("cluster").alias("query_ord")), s.select(F.col("key").alias("target_key"), F.col("cluster").alias("target_ord"))
-    met = pairs.join(a, "query_ord").join(b, "target_ord")
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("query_ord", "target_ord").orderBy("query_key", "target_key")
-    return met.select("query_key", "target_key", (F.row_number().over(order) - 1).cast("long").alias("link_ord"))
+    """Suppliers as genes of their nations."""
+    nation = F.col("s_nationkey").cast("string")
+    genes = t(spark, d, "supplier").select(F.col("s_suppkey").alias("gene_id"), nation.alias("cluster_id"), nation.alias("locus_id"), F.col("s_suppkey").alias("gene_ord"), F.lit("M").alias("translation"))
+    clusters = t(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("cluster_id"), F.col("n_nationkey").alias("cluster_ord"))
+    loci = clusters.select(F.col("cluster_id").alias("locus_id"), F.lit(0).alias("locus_ord"))
+    met = similarity_join.gene_pairs(genes, loci, similarity_join.cluster_pairs(clusters), bounded=False)
+    return met.select(F.col("query_gene_id").alias("query_key"), F.col("target_gene_id").alias("target_key"), similarity_join.link_ord("query_cluster_id", "target_cluster_id").cast("long").alias("link_ord"))
 
 
 @query(
     "length_bound_prune",
-    """SELECT a.item_id AS i, b.item_id AS j FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id
-       AND least(length(a.text), length(b.text)) / greatest(length(a.text), length(b.text)) >= 0.7""",
+    """SELECT a.item_id AS i, b.item_id AS j FROM benchmark a JOIN benchmark b ON a.item_id < b.item_id AND trim(a.text) <> '' AND trim(b.text) <> ''
+       AND least(length(trim(a.text)), length(trim(b.text))) / greatest(length(trim(a.text)), length(trim(b.text))) >= 0.7""",
 )
 def length_bound_prune(spark: SparkSession, d: str) -> DataFrame:
-    b = t(spark, d, "benchmark").select("item_id", F.length("text").alias("n"))
-    x, y = b.select(F.col("item_id").alias("i"), F.col("n").alias("p")), b.select(F.col("item_id").alias("j"), F.col("n").alias("q"))
-    return x.join(y, (F.col("i") < F.col("j")) & (F.least("p", "q") / F.greatest("p", "q") >= 0.7)).select("i", "j")
+    """Texts as the one gene of a cluster each."""
+    item = F.col("item_id").cast("string")
+    genes = t(spark, d, "benchmark").select(F.col("item_id").alias("gene_id"), item.alias("cluster_id"), item.alias("locus_id"), F.lit(0).alias("gene_ord"), F.col("text").alias("translation"))
+    clusters = genes.select("cluster_id", F.col("gene_id").alias("cluster_ord"))
+    loci = clusters.select(F.col("cluster_id").alias("locus_id"), F.lit(0).alias("locus_ord"))
+    met = similarity_join.gene_pairs(genes, loci, similarity_join.cluster_pairs(clusters), cutoff=0.7)
+    return met.select(F.col("query_gene_id").alias("i"), F.col("target_gene_id").alias("j"))
 
 
 @query("global_align")
@@ -249,6 +233,11 @@ def lookup_any_value(spark: SparkSession, d: str) -> DataFrame:
     return lookups.genes_by_value(genes, wanted).select("c_custkey", "gene_id")
 
 
+@query("locus_text", "SELECT n_nationkey, n_name || ':' || CAST(n_regionkey AS VARCHAR) || '-' || CAST(n_nationkey + 100 AS VARCHAR) AS locus FROM nation")
+def locus_text(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "nation").select("n_nationkey", lookups.locus_text("n_name", "n_regionkey", F.col("n_nationkey") + 100).alias("locus"))
+
+
 @query("gene_by_label", "SELECT min(event_id) AS gene_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) HAVING count(*) > 0")
 def gene_by_label(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events")
@@ -389,7 +378,7 @@ def synteny_score(spark: SparkSession, d: str) -> DataFrame:
     e = t(spark, d, "events")
     sums = synteny.link_sums(e.select(F.col("user_id").alias("alignment_id"), F.col("value").alias("identity")), e.select(F.col("user_id").alias("alignment_id")).distinct())
     shared = multiset_intersection(spark, d).withColumnRenamed("user_id", "alignment_id")
-    return sums.join(shared, "alignment_id", "left").select(F.col("alignment_id").alias("user_id"), F.round(F.col("cumulative") + 0.5 * F.coalesce("contiguity", F.lit(0)), 4).alias("score"))
+    return synteny.weighted(sums, shared, 0.5).select(F.col("alignment_id").alias("user_id"), F.round("score", 4).alias("score"))
 
 
 REGION_SCORES = """SELECT x.n_regionkey AS a, y.n_regionkey AS b, sum(CAST(round(s_acctbal * 100) AS BIGINT)) / 100000.0 AS score

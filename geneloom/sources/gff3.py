@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import extract
 from .discovery import escaped_path, find_fasta, plain_path, stem
 from .fasta import fasta_entries
 
-#: Parents are looked for through so many levels (CDS, mRNA, gene).
+#: Parents are looked for through so many levels (CDS, mRNA, gene) before it is asked whether there are more.
 LEVELS = 3
 
 
@@ -64,22 +65,24 @@ def merged_exons(cds: DataFrame) -> DataFrame:
 
 
 def parent_genes(rows: DataFrame, cds: DataFrame) -> DataFrame:
-    """(cluster_ord, own_id, gene_start, gene_end): the first ancestor of type gene, over at most LEVELS steps."""
+    """(cluster_ord, own_id, gene_start, gene_end): the first ancestor of type gene, at any depth; in a circle of parents each is met once."""
     own = F.get(F.element_at("attributes", "ID"), F.lit(0))
     links = rows.where(own.isNotNull()).select("cluster_ord", own.alias("node"), "type", "start", "end", "line_ord", F.coalesce(F.element_at("attributes", "Parent"), F.array().cast("array<string>")).alias("parents"))
     steps = cds.select("cluster_ord", "own_id", F.explode(F.coalesce(F.element_at("attributes", "Parent"), F.array().cast("array<string>"))).alias("node"))
-    found = None
-    for level in range(LEVELS):
-        met = steps.distinct().join(links, ["cluster_ord", "node"])
+    found, seen, level = None, None, 0
+    while level < LEVELS or not steps.isEmpty():
+        steps = steps.distinct() if seen is None else steps.distinct().join(seen, ["cluster_ord", "own_id", "node"], "left_anti")
+        seen = steps if seen is None else seen.unionByName(steps)
+        met = steps.join(links, ["cluster_ord", "node"])
         genes = met.where(F.col("type") == "gene").select("cluster_ord", "own_id", F.lit(level).alias("level"), "line_ord", "start", "end")
         found = genes if found is None else found.union(genes)
-        steps = met.where(F.col("type") != "gene").select("cluster_ord", "own_id", F.explode("parents").alias("node"))
+        steps, level = met.where(F.col("type") != "gene").select("cluster_ord", "own_id", F.explode("parents").alias("node")), level + 1
     first = found.groupBy("cluster_ord", "own_id").agg(F.min_by(F.struct("start", "end"), F.struct("level", "line_ord")).alias("g"))
     return first.select("cluster_ord", "own_id", F.col("g.start").alias("gene_start"), F.col("g.end").alias("gene_end"))
 
 
 def read_gff(spark: SparkSession, paths: list[str], ordinals: list[int] | None = None, ranges: dict[str, tuple[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(loci, genes) of GFF files: loci(cluster_ord, cluster_name, source_path, locus_ord, record_id, name, start, end), genes(cluster_ord, locus_ord, gene_ord, start, end, strand, exons, sequence, qualifiers).
+    """(loci, genes) of GFF files: loci(cluster_ord, cluster_name, source_path, locus_ord, record_id, name, start, end), genes(cluster_ord, locus_ord, gene_ord, start, end, strand, exons, bases, qualifiers).
 
     The region of a record is the user's range, else the file's directive, else the whole record; only a user's range
     cuts the sequence. Coding rows lie wholly in the region; a gene whose parent overflows it is left out. Every coding
@@ -110,7 +113,8 @@ def read_gff(spark: SparkSession, paths: list[str], ordinals: list[int] | None =
     own = F.get(F.element_at("attributes", "ID"), F.lit(0))
     checked = F.coalesce(own, F.raise_error(F.lit("a coding row has no ID")).cast("string"))
     cds = rows.where(F.col("type") == "CDS").join(placed.drop("sequence"), ["cluster_ord", "seqid"]).where("start >= offset AND end <= limit").withColumn("own_id", checked)
-    merged = merged_exons(cds).join(placed, ["cluster_ord", "seqid"]).join(parent_genes(rows, cds), ["cluster_ord", "own_id"], "left")
+    based = merged_exons(cds).join(placed, ["cluster_ord", "seqid"]).withColumn("bases", extract(F.col("sequence"), F.col("exons"))).drop("sequence")
+    merged = based.join(parent_genes(rows, cds), ["cluster_ord", "own_id"], "left")
     kept = merged.where("gene_start IS NULL OR (gene_start >= offset AND gene_end <= limit)")
     first = F.array_min(F.transform("exons", lambda e: e["start"]))
     last = F.array_max(F.transform("exons", lambda e: e["end"]))
@@ -119,7 +123,7 @@ def read_gff(spark: SparkSession, paths: list[str], ordinals: list[int] | None =
     genes = kept.select(
         "cluster_ord", "locus_ord", F.row_number().over(Window.partitionBy("cluster_ord", "locus_ord").orderBy("island")).alias("gene_ord"),
         F.coalesce("gene_start", first + F.col("offset")).cast("int").alias("start"), F.coalesce("gene_end", last + F.col("offset")).cast("int").alias("end"),
-        F.when(F.size(strands) == 1, strands[0]).alias("strand"), "exons", "sequence", qualifiers.alias("qualifiers"),
+        F.when(F.size(strands) == 1, strands[0]).alias("strand"), "exons", "bases", qualifiers.alias("qualifiers"),
     )
     about = spark.createDataFrame([(o, stem(p), p) for o, p in zip(ordinals, paths)], "cluster_ord int, cluster_name string, source_path string")
     loci = placed.join(F.broadcast(about), "cluster_ord").select("cluster_ord", "cluster_name", "source_path", "locus_ord", F.col("seqid").alias("record_id"), F.col("seqid").alias("name"), F.col("offset").cast("int").alias("start"), F.col("limit").cast("int").alias("end"))

@@ -40,3 +40,11 @@ def test_submap_and_ids(spark):
     m = F.create_map(F.lit("Gene"), F.lit("a"), F.lit("note"), F.lit("b"))
     assert value(spark, C.submap(m, ["gene"])) == {"Gene": "a"}
     assert value(spark, C.stable_id(F.lit("x"), F.lit(1))) == value(spark, C.stable_id(F.lit("x"), F.lit(1)))
+
+
+def test_translation_of_a_long_text_is_linear(spark):
+    import time
+
+    began = time.perf_counter()
+    rows = spark.createDataFrame([("acgu" * 150_000,)] * 4, "s string").select(C.translate_codons(F.col("s")).alias("p")).collect()
+    assert {len(r["p"]) for r in rows} == {200_000} and rows[0]["p"][:4] == "TYVR" and time.perf_counter() - began < 120

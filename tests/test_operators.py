@@ -35,6 +35,24 @@ def test_first_containing(spark):
     assert {(r["rec"], r["n"]): (r["parent_start"], r["parent_end"]) for r in found} == {(1, 0): (5, 9), (1, 1): (0, 30), (2, 0): (None, None)}
 
 
+def test_first_containing_with_null_keys_and_bins(spark):
+    """A null among the columns that tell rows apart loses no match, and bins of any width give the same rows."""
+    import random
+
+    inner = spark.createDataFrame([(1, None, 5, 6), (None, 1, 5, 6), (1, 2, None, 6), (1, 3, 6, 5)], "rec int, n int, start int, end int")
+    outer = spark.createDataFrame([(1, 9, 0, 9), (None, 8, 0, 9), (1, 7, 9, 0), (1, 6, None, 9)], "rec int, n int, start int, end int")
+    found = intervals.first_containing(inner, outer, ["rec"], ["rec", "n"], "n", ["start", "end"], bin_width=3).collect()
+    assert {(r["rec"], r["n"]): r["parent_start"] for r in found} == {(1, None): 0, (None, 1): None, (1, 2): None, (1, 3): 0}
+    rng = random.Random(5)
+    a = [(1, i, x, x + rng.randrange(1, 9)) for i in range(60) for x in [rng.randrange(-30, 300)]]
+    b = [(1, i, x, x + rng.randrange(1, 120)) for i in range(40) for x in [rng.randrange(-40, 300)]]
+    expected = {i: min((j for _, j, y, w in b if y <= x and z <= w), default=None) for _, i, x, z in a}
+    schema = "rec int, n int, start int, end int"
+    for width in (1, 7, 10_000):
+        found = intervals.first_containing(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["rec"], ["rec", "n"], "n", ["n"], bin_width=width)
+        assert {r["n"]: r["parent_n"] for r in found.collect()} == expected
+
+
 def test_islands_and_abutting_parts(spark):
     rows = spark.createDataFrame([(1, i, k) for i, k in enumerate("aabba")] + [(2, 0, None), (2, 1, None), (2, 2, "x")], "p int, i int, k string")
     found = {(r["p"], r["i"]): r["island"] for r in intervals.islands(rows, ["p"], ["i"], "k").collect()}

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from geneloom.operators.annotation import tables_of_gff, tables_of_records
 from geneloom.session import from_rows, parse_files
@@ -188,3 +189,20 @@ def test_side_inputs(spark, tmp_path):
     for text in ("only one\n", "a,b,c\n"):
         with pytest.raises(Exception, match="two fields"):
             side_inputs.read_functions(spark, write(tmp_path, "bad.csv", text)).collect()
+
+
+def test_parents_at_any_depth_and_in_circles(spark):
+    """Six levels between a coding row and its gene, and coding rows whose parents are their own ancestors."""
+    from geneloom.sources import gff3
+
+    def row(n, kind, start, end, name, parent=None):
+        parents = {"ID": [name], **({"Parent": [parent]} if parent else {})}
+        return (0, n, "r", kind, start, end, 1, parents)
+
+    chain = [row(0, "gene", 1, 90, "g"), *(row(i, "part", 1, 90, f"p{i}", "g" if i == 1 else f"p{i - 1}") for i in range(1, 7)), row(7, "CDS", 10, 20, "c", "p6")]
+    circle = [row(8, "part", 1, 90, "x", "y"), row(9, "part", 1, 90, "y", "x"), row(10, "CDS", 30, 40, "d", "x")]
+    schema = "cluster_ord int, line_ord int, seqid string, type string, start int, end int, strand tinyint, attributes map<string,array<string>>"
+    rows = spark.createDataFrame(chain + circle, schema)
+    cds = rows.where("type = 'CDS'").withColumn("own_id", F.get(F.element_at("attributes", "ID"), F.lit(0)))
+    found = {r["own_id"]: (r["gene_start"], r["gene_end"]) for r in gff3.parent_genes(rows, cds).collect()}
+    assert found == {"c": (1, 90)}
