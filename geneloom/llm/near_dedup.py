@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, id_col:
     and are kept. Rows with one id are one document, which has the links of each of its texts; a repeated row gets the same
     result. Other columns are not read. An empty table gives no rows. Shingles stand as 64-bit hashes and sets as two
     64-bit sums of them with their size: among n shingles of a pair's two texts two are taken for one with a probability
-    of about n**2 / 2**65. A worker holds a text and some 20 bytes for each of its bytes at a time.
+    of about n**2 / 2**65. A worker holds a text and several times its bytes at a time.
     """
     prepare(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
