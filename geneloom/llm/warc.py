@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, prepare, shared_dir, shuffle_partitions, tidied
+from .common import Batches, materialise, prepare, shared_dir, shuffle_partitions, tidied
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Custom header: a revisit's record has no payload, its length is kept here.
 LENGTH_HEADER = "WARC-X-Payload-Length"
 MAX_RECORDS_PER_FILE = 4_000
+#: A table of so many repeated payloads at most (some 100 bytes each) is broadcast.
+BROADCAST_PAYLOADS = 300_000
 INDEX_SCHEMA = "url_key string, timestamp string, page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, file string, offset long, length long"
 
 
@@ -48,9 +50,14 @@ def url_key(url: Column) -> Column:
 def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """Adds record_type and refers_to. Of equal payloads of at least min_bytes the one with the largest page_id is the response.
 
-    Equal payloads are found by digest and length; one partial aggregate of (digest, largest page_id), joined back.
+    Equal payloads are found by digest and length; one partial aggregate of (digest, largest page_id) over digests and ids,
+    of which the repeated payloads are joined back: up to BROADCAST_PAYLOADS of them by a broadcast, so that no payload is
+    shuffled, more by digest.
     """
-    first = pages.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response_id"))
+    first = pages.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("pages"))
+    first = materialise(first.where("pages > 1").drop("pages"), "warc-repeated")
+    if first.count() <= BROADCAST_PAYLOADS:
+        first = F.broadcast(first)
     joined = pages.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.col("response_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("response_id"))).drop("response_id")

@@ -44,6 +44,12 @@ def test_round_trip(spark, least):
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in found.collect()), key=str) == brute(ROWS, least)
 
 
+def test_repeated_payloads_joined_by_digest(spark, monkeypatch):
+    """More repeated payloads than may be broadcast give the same records."""
+    monkeypatch.setattr(W, "BROADCAST_PAYLOADS", 0)
+    test_round_trip(spark, 0)
+
+
 def test_index_is_in_global_order(spark):
     rng = random.Random(1)
     rows = [(i, f"http://{rng.choice('abc')}.org/{rng.randrange(4)}", f"body {i}") for i in rng.sample(range(3000), 400)]
