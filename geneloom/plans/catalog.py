@@ -307,15 +307,6 @@ def components_all(spark: SparkSession, d: str) -> DataFrame:
     return connected_components(edges(spark, d, "true"))
 
 
-@query(
-    "function_grouping",
-    "SELECT p_type AS function, min(p_partkey) AS function_ord, string_agg(p_name, '|' ORDER BY p_partkey) AS genes FROM part GROUP BY p_type",
-)
-def function_grouping(spark: SparkSession, d: str) -> DataFrame:
-    rows = t(spark, d, "part").groupBy("p_type").agg(F.min("p_partkey").alias("function_ord"), F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("g"))
-    return rows.select(F.col("p_type").alias("function"), "function_ord", F.array_join(F.transform("g", lambda x: x["p_name"]), "|").alias("genes"))
-
-
 @query(
     "function_groups",
     f"""WITH RECURSIVE e AS ({EDGES}), f AS (SELECT DISTINCT a AS gene, -1 - a % 5 AS fn FROM e),
@@ -469,31 +460,11 @@ def relabel(spark: SparkSession, d: str) -> DataFrame:
     return lookups.relabelled(genes, "k").select("event_id", "label")
 
 
-@query("dedup_by_key", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
-def dedup_by_key(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
-
-
 @query("set_difference", "SELECT DISTINCT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.05")
 def set_difference(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "part").select(F.col("p_partkey").alias("k")).subtract(t(spark, d, "lineitem").where("l_quantity > 49 AND l_discount > 0.05").select("l_partkey"))
 
 
-@query("append_clusters", "SELECT n_name AS name, n_nationkey AS place FROM nation UNION ALL SELECT r_name, r_regionkey + 25 FROM region")
-def append_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("place")).unionByName(t(spark, d, "region").select(F.col("r_name").alias("name"), (F.col("r_regionkey") + 25).alias("place")))
-
-
-@query(
-    "file_order",
-    "SELECT n_name, row_number() OVER (ORDER BY n_nationkey DESC) - 1 AS display_ord FROM nation",
-)
-def file_order(spark: SparkSession, d: str) -> DataFrame:
-    n = t(spark, d, "nation")
-    places = [(r[0], i) for i, r in enumerate(n.select("n_nationkey").orderBy(F.desc("n_nationkey")).collect())]
-    return n.join(F.broadcast(spark.createDataFrame(places, "n_nationkey int, display_ord long")), "n_nationkey").select("n_name", "display_ord")
-
-
 # Reports and sessions.
 
 REPORT_SQL = """SELECT a.n_nationkey AS i, b.n_nationkey AS j, a.n_name AS query, b.n_name AS target, printf('%.2f', (a.n_nationkey + b.n_nationkey) / 49.0) AS identity, printf('%.2f', (a.n_nationkey * 7 % 25) / 24.0) AS similarity
@@ -522,15 +493,6 @@ def report_padded(spark: SparkSession, d: str) -> DataFrame:
     return report.format_links(report.link_rows(*report_links(spark, d), 2), headers=True).withColumnRenamed("alignment_id", "i")
 
 
-@query("session_roundtrip", "SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON n_regionkey = r_regionkey")
-def session_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Regions as clusters of nations, written as JSON text with nulls kept and read back."""
-    nested = t(spark, d, "region").join(t(spark, d, "nation"), F.col("r_regionkey") == F.col("n_regionkey")).groupBy("r_regionkey", "r_name").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("genes"))
-    text = nested.select(F.to_json(F.struct("r_regionkey", "r_name", "genes"), {"ignoreNullFields": "false"}).alias("j"))
-    back = text.select(F.from_json("j", "r_regionkey int, r_name string, genes array<struct<n_nationkey:int,n_name:string>>").alias("x"))
-    return back.select("x.r_regionkey", "x.r_name", F.explode("x.genes").alias("g")).select("r_regionkey", "r_name", "g.*")
-
-
 @query("similarity_links")
 def similarity_links(spark: SparkSession, d: str) -> DataFrame:
     """The whole gene similarity join: nations' regions as clusters, benchmark texts as genes."""
@@ -539,3 +501,6 @@ def similarity_links(spark: SparkSession, d: str) -> DataFrame:
     clusters = genes.select("cluster_id", F.col("cluster_id").cast("int").alias("cluster_ord")).distinct()
     loci = clusters.select(F.col("cluster_id").alias("locus_id"), F.lit(0).alias("locus_ord"))
     return similarity_join.similarity_links(genes, loci, similarity_join.cluster_pairs(clusters)).select("query_gene_id", "target_gene_id", "link_ord", F.round("identity", 9).alias("identity"), F.round("similarity", 9).alias("similarity"))
+
+
+from . import source_catalog  # noqa: E402,F401 - registers the queries over files and sessions

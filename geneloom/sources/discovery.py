@@ -7,6 +7,8 @@ import re
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+from pyspark.sql import SparkSession
+
 # File name endings by format.
 FASTA_SUFFIXES = (".fa", ".fsa", ".fna", ".fasta", ".faa")
 GENBANK_SUFFIXES = (".gbk", ".gb", ".genbank", ".gbf", ".gbff")
@@ -21,30 +23,62 @@ def stem(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[0]
 
 
+class Store:
+    """Whether paths exist, and what folders hold: by the running session's file systems, else those of this machine.
+
+    Paths with a scheme need a session.
+    """
+
+    def __init__(self) -> None:
+        spark = SparkSession.getActiveSession()
+        self.jvm, self.conf = (spark._jvm, spark._jsc.hadoopConfiguration()) if spark else (None, None)
+
+    def status(self, path: str):
+        """(file system, path) as the session knows them, or None for what isn't there."""
+        where = self.jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(self.conf)
+        return (fs, where) if fs.exists(where) else None
+
+    def exists(self, path: str) -> bool:
+        return bool(path) and (self.status(path) is not None if self.jvm else os.path.exists(path))
+
+    def is_folder(self, path: str) -> bool:
+        if not self.jvm:
+            return os.path.isdir(path)
+        met = self.status(path)
+        return met is not None and met[0].getFileStatus(met[1]).isDirectory()
+
+    def names(self, path: str) -> list[str]:
+        if not self.jvm:
+            return sorted(os.listdir(path))
+        fs, where = self.status(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(where))
+
+
 def find_files(paths: Iterable[str], recurse: bool = True) -> list[str]:
     """Annotation files among paths and, in name order, in folders; without recurse, folders below the given ones are left out.
 
     Paths that don't exist or have another ending are left out.
     """
+    store, endings = Store(), GENBANK_SUFFIXES + GFF_SUFFIXES
     found: list[str] = []
-
-    def look(path: str, level: int) -> None:
-        if os.path.isdir(path):
-            if level == 0 or recurse:
-                for name in sorted(os.listdir(path)):
-                    look(os.path.join(path, name), level + 1)
-        elif os.path.exists(path) and suffix(path).lower() in GENBANK_SUFFIXES + GFF_SUFFIXES:
-            found.append(path)
-
-    for p in paths:
-        look(str(p), 0)
+    ahead = [(str(p), True) for p in reversed(list(paths))]
+    while ahead:
+        path, given = ahead.pop()
+        if not store.exists(path):
+            continue
+        if not store.is_folder(path):
+            if suffix(path).lower() in endings:
+                found.append(path)
+        elif given or recurse:
+            ahead += [(f"{path.rstrip('/')}/{name}", False) for name in reversed(store.names(path))]
     return found
 
 
 def find_fasta(gff_path: str) -> str | None:
     """The sequences that belong to a GFF file: same stem, the first ending of FASTA_SUFFIXES there is."""
-    base = os.path.splitext(gff_path)[0]
-    return next((base + s for s in FASTA_SUFFIXES if os.path.exists(base + s)), None)
+    store, base = Store(), os.path.splitext(gff_path)[0]
+    return next((base + s for s in FASTA_SUFFIXES if store.exists(base + s)), None)
 
 
 def plain_path(path: str) -> str:
