@@ -1,4 +1,4 @@
-"""Removal of repeated word windows by numbering them in groups dealt by prefix.
+"""Removal of repeated word windows by suffix trees over groups of suffixes that share a prefix.
 
 Each word covered by a window of `window` words that also starts in a document with a smaller id is removed. Windows
 that can't repeat never leave their document:
@@ -6,11 +6,12 @@ that can't repeat never leave their document:
 1. Of a window's runs of `prefix` words the one with the least hash is its anchor; equal windows have equal anchors at
    equal places. Anchors go to groups by hash; those that only one document has are dropped.
 2. The suffixes around the anchors that are left (the words from the first window of an anchor to the end of its last)
-   are grouped by prefix: by the anchor's words or, where a sample shows that these are very frequent, by the whole
-   window, the longest prefix that matters.
-3. In each group the runs of 1, 2, 4, ... and `window` words are numbered, each by joining two of half the length, on
-   exact words. This replaces a suffix tree: none is built. Windows whose number two documents or more have are the
-   repeats.
+   are dealt by a prefix of variable length: the anchor's words or, where a sample over all partitions shows that these
+   are very frequent, the shortest beginning of the window, in steps of PREFIX_STEP words, that isn't. The number of
+   groups follows the counted bytes of the table.
+3. Each group's suffixes are one subtree: sorted, with the words that neighbours share, which gives the inner nodes.
+   Those at `window` words or deeper are the repeats that can't go on to the right; the shallowest of them above a
+   suffix holds the least document id among all that begin with its window.
 
 A window that a sample shows in a large share of all documents never goes to a group: its least document id comes from
 a partial aggregate of at most HOT_WINDOWS rows, which each document is then held against.
@@ -29,9 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, bounded_sample, prepare, shuffle_partitions, tidied
+from .common import Batches, prepare, shuffle_partitions, tidied
 
 HOT_WINDOWS = HOT_PREFIXES = 20_000
+#: Words by which a frequent prefix grows.
+PREFIX_STEP = 2
+#: Bytes of text for each group of anchors or suffixes.
+GROUP_BYTES = 32 << 20
 SLICE_BYTES = 1 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -157,12 +162,22 @@ class Plan:
     def __init__(self, window: int, prefix: int, parts: int) -> None:
         self.window, self.prefix, self.parts = window, prefix, parts
         self.hot_prefixes = np.zeros(0, np.uint64)
+        self.hot_beginnings: dict[int, np.ndarray] = {}
         self.hot_windows: dict[bytes, int | None] = {}
         self.hot_hashes = np.zeros(0, np.uint64)
 
     def words(self, texts: list[bytes]) -> Words:
         return Words(texts, self.window, self.prefix)
 
+    def extended(self, w: Words, windows: np.ndarray) -> np.ndarray:
+        """A hash of each window's shortest beginning that isn't frequent, the whole window at most."""
+        found, left = np.zeros(len(windows), np.uint64), np.arange(len(windows))
+        for length in (*sorted(self.hot_beginnings), self.window):
+            h = w.runs(length)[windows[left]]
+            found[left] = mix(h + np.uint64(length))
+            left = left[np.isin(h, self.hot_beginnings.get(length, ()))]
+        return found
+
     def hot_at(self, w: Words, windows: np.ndarray) -> dict[int, bytes]:
         """Those of the windows that are hot, by first word; found by hash, confirmed by their words."""
         if not len(self.hot_hashes) or not len(windows):
@@ -176,25 +191,45 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def plan_hot(base: DataFrame, plan: Plan, sample_docs: int, share: float) -> None:
+def spread_sample(base: DataFrame, rows: int, docs: int, chars: int) -> list[bytes]:
+    """About `docs` of the `rows` texts, taken from all partitions, of at most `chars` characters each."""
+    text = base.select("text").where(F.length("text") <= chars)
+    return [r["text"].encode() for r in text.sample(min(1.0, docs / max(rows, 1)), seed=7).limit(2 * docs).collect()]
+
+
+def plan_hot(base: DataFrame, plan: Plan, rows: int, sample_docs: int, share: float) -> None:
     """Prefixes and windows that at least `share` of a sample's documents have. They decide how rows are dealt, never the result."""
     length = plan.window
 
-    prefixes, windows, texts, n = Counter(), Counter(), {}, 0
-    for _, part in slices([t.encode() for t in bounded_sample(base.select("text"), sample_docs, 1 << 14)]):
+    def count(counter: Counter, w: Words, hashes: np.ndarray, at: np.ndarray) -> None:
+        """Adds how many documents have each hash."""
+        pairs = np.unique(np.stack([w.doc[at].astype(np.uint64), hashes[at]]), axis=1)[1]
+        counter.update(dict(zip(*(x.tolist() for x in np.unique(pairs, return_counts=True)))))
+
+    def frequent(counter: Counter) -> np.ndarray:
+        return np.sort(np.array([h for h, c in counter.most_common(HOT_PREFIXES) if c >= least], np.uint64))
+
+    prefixes, windows, texts = Counter(), Counter(), {}
+    sample = spread_sample(base, rows, sample_docs, 1 << 14)
+    least = max(3, int(np.ceil(share * len(sample))))
+    for _, part in slices(sample):
         w = plan.words(part)
-        n += len(part)
         if not len(w.windows):
             continue
         whole = w.runs(length)
-        for hashes, counter, at in ((w.grams, prefixes, np.unique(w.anchor)), (whole, windows, w.windows)):
-            pairs = np.unique(np.stack([w.doc[at].astype(np.uint64), hashes[at]]), axis=1)[1]
-            counter.update(dict(zip(*(x.tolist() for x in np.unique(pairs, return_counts=True)))))
+        count(prefixes, w, w.grams, np.unique(w.anchor))
+        count(windows, w, whole, w.windows)
         for i, h in zip(w.windows.tolist(), whole[w.windows].tolist()):
             if windows[h] > 1 and h not in texts:
                 texts[h] = canonical(w.text(i, i + length))
-    least = max(3, int(np.ceil(share * n)))
-    plan.hot_prefixes = np.sort(np.array([h for h, c in prefixes.most_common(HOT_PREFIXES) if c >= least], np.uint64))
+    plan.hot_prefixes = frequent(prefixes)
+    beginnings = {n: Counter() for n in range(plan.prefix + PREFIX_STEP, length, PREFIX_STEP)}
+    for _, part in slices(sample) if len(plan.hot_prefixes) else ():
+        w = plan.words(part)
+        at = w.windows[np.isin(w.grams[w.anchor], plan.hot_prefixes)] if len(w.windows) else w.windows
+        for n, counter in beginnings.items() if len(at) else ():
+            count(counter, w, w.runs(n), at)
+    plan.hot_beginnings = {n: frequent(c) for n, c in beginnings.items()}
     hot = [(h, texts[h]) for h, c in windows.most_common(HOT_WINDOWS) if c >= least]
     plan.hot_hashes = np.sort(np.array([h for h, _ in hot], np.uint64))
     plan.hot_windows = {t: None for _, t in hot}
@@ -313,7 +348,8 @@ def repeats(candidates: DataFrame, plan: Plan) -> DataFrame:
                 new = np.r_[True, (np.diff(at) != 1) | (np.diff(anchor) != 0)] | hot
                 cut = np.flatnonzero(new)
                 first, count = at[cut], np.diff(np.r_[cut, len(at)])
-                key = np.where(hot[cut], w.runs(length)[first], mix(w.grams[anchor[cut]]))
+                key = mix(w.grams[anchor[cut]])
+                key[hot[cut]] = plan.extended(w, first[hot[cut]])
                 rows.append(w.doc[first] + begin), places.append(first - w.first[w.doc[first]]), windows.append(count), parts.append(key % np.uint64(plan.parts))
                 spans += [w.buffer[i:j] for i, j in zip(w.starts[first].tolist(), w.ends[first + count + length - 2].tolist())]
             if not rows:
@@ -338,14 +374,11 @@ def repeats(candidates: DataFrame, plan: Plan) -> DataFrame:
             words = text.split()
             leaves.append(np.fromiter((numbers.setdefault(x, len(numbers)) for x in words), np.int64, len(words)))
         ids, keys, rows, places, counts, sizes, leaves = map(np.concatenate, (ids, keys, rows, places, counts, sizes, leaves))
-        node = deep_nodes(leaves, sizes, length)
         begin = np.cumsum(sizes) - sizes
         nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        node = node[np.repeat(begin, counts) + nth]
-        row, place = np.repeat(rows, counts), np.repeat(places, counts) + nth
-        least = np.full(int(node.max()) + 1, np.iinfo(np.int64).max)
-        np.minimum.at(least, node, ids[row])
-        flagged = ids[row] > least[node]
+        subtree = Subtree(leaves, sizes, np.repeat(begin, counts) + nth)
+        row, place = np.repeat(rows, counts)[subtree.order], (np.repeat(places, counts) + nth)[subtree.order]
+        flagged = ids[row] > subtree.least_above(ids[row], length)
         row, place = row[flagged], place[flagged]
         order = np.lexsort((place, row))
         return per_document(ids, keys, row[order], place[order], "windows")
@@ -354,24 +387,58 @@ def repeats(candidates: DataFrame, plan: Plan) -> DataFrame:
     return packed.groupBy("part").applyInArrow(tree, "id long, key long, windows binary")
 
 
-def deep_nodes(leaves: np.ndarray, sizes: np.ndarray, depth: int) -> np.ndarray:
-    """For each word the number of the tree node at `depth` that its suffix passes: equal for equal next `depth` words.
+class Subtree:
+    """The suffix tree of suffixes that end with their spans: their sorted order, and how many words neighbours share.
 
-    Words are numbers; suffixes end with their span. Numbers at places with fewer words left mean nothing.
+    words: numbers, of spans of the given sizes one after another; first: where the suffixes begin.
     """
-    span = np.repeat(np.arange(len(sizes)), sizes)
-    node, reach = leaves, 1
-    while reach < depth:
-        step = min(reach, depth - reach)
-        right = np.zeros_like(node)
-        right[:-step] = node[step:]
-        inside = np.zeros(len(node), bool)
-        inside[: len(node) - step] = span[step:] == span[: len(span) - step]
-        pair = node * (int(node.max()) + 1) + right
-        node = np.zeros_like(node)
-        node[inside] = np.unique(pair[inside], return_inverse=True)[1]
-        reach += step
-    return node
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> None:
+        stop = np.repeat(np.cumsum(sizes), sizes)
+        place, rank, reach = np.arange(len(words)), np.asarray(words, np.int64) + 1, 1
+        ranks = [rank.astype(np.int32)]  # by the next 1, 2, 4, ... words; an end is less than any word
+        while reach < sizes.max():
+            right = np.zeros_like(rank)
+            right[:-reach] = rank[reach:]
+            right[place + reach >= stop] = 0
+            rank = np.unique(rank * (int(rank.max()) + 1) + right, return_inverse=True)[1] + 1
+            ranks.append(rank.astype(np.int32))
+            reach *= 2
+        self.order = np.argsort(rank[first], kind="stable")
+        at = np.asarray(first)[self.order]
+        a, b, most = at[:-1], at[1:], np.minimum((stop[at] - at)[:-1], (stop[at] - at)[1:])
+        shared = np.zeros(len(most), np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            live = np.flatnonzero(shared < most)
+            equal = ranks[k][a[live] + shared[live]] == ranks[k][b[live] + shared[live]]
+            shared[live[equal]] += 1 << k
+            np.minimum(shared, most, out=shared)
+        self.shared = np.r_[0, shared]  # of each suffix with the one before it
+
+    def deep_nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The inner nodes at `depth` words or deeper: first and last + 1 of their suffixes in order, and depth; parents first."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for d in range(depth, int(self.shared.max(initial=0)) + 1):
+            cut = np.flatnonzero(np.r_[True, self.shared[1:] < d])
+            size = np.diff(np.r_[cut, len(self.shared)])
+            lowest = np.minimum.reduceat(np.where(self.shared < d, np.iinfo(np.int64).max, self.shared), cut)
+            own = (size > 1) & (lowest == d)
+            found.append((cut[own], (cut + size)[own], np.full(own.sum(), d)))
+        left, right, deep = map(np.concatenate, zip(*found))
+        order = np.lexsort((-right, left))
+        return left[order], right[order], deep[order]
+
+    def least_above(self, values: np.ndarray, depth: int) -> np.ndarray:
+        """For each suffix in order the least of the values below its shallowest deep node; its own where it has none."""
+        left, right, _ = self.deep_nodes(depth)
+        least = values.copy()
+        if len(left):
+            top = np.r_[True, left[1:] >= np.maximum.accumulate(right)[:-1]]
+            left, right = left[top], right[top]
+            low = np.minimum.reduceat(np.r_[values, values[-1]], np.stack([left, right], axis=1).ravel())[::2]
+            size = right - left
+            least[np.arange(size.sum()) + np.repeat(left - np.cumsum(size) + size, size)] = np.repeat(low, size)
+        return least
 
 
 def dedup(docs: DataFrame, window: int = 13, prefix: int = 5, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, sample_docs: int = 3000, hot_share: float = 0.005) -> DataFrame:
@@ -384,10 +451,11 @@ def dedup(docs: DataFrame, window: int = 13, prefix: int = 5, id_col: str = "doc
     """
     spark = docs.sparkSession
     prepare(spark)
-    plan = Plan(window, prefix, parts or 4 * shuffle_partitions(spark))
     base = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     base = base.withColumn("key", F.xxhash64("id", "text"))
-    plan_hot(base, plan, sample_docs, hot_share)
+    size = base.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    plan = Plan(window, prefix, parts or max(4 * shuffle_partitions(spark), -(-size["bytes"] // GROUP_BYTES)))
+    plan_hot(base, plan, size["rows"], sample_docs, hot_share)
     dealt = base.repartition(shuffle_partitions(spark), "id", "key")  # used twice, shuffled once
     places = anchors(base, plan).groupBy("id", "key").agg(F.collect_list("at").alias("at"))
     flagged = repeats(dealt.join(places, ["id", "key"], "left"), plan).groupBy("id", "key").agg(F.collect_list("windows").alias("windows"))

@@ -62,14 +62,34 @@ def test_windows_do_not_cross_documents(spark):
     check(spark, [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(a + b)), (4, " ".join(a + b))])
 
 
-def test_nodes_are_equal_for_equal_words():
+@pytest.mark.parametrize("depth", [1, 2, 5, 8, 13])
+def test_deep_nodes_are_the_repeats_that_end_to_the_right(depth):
+    """A node for each run of words that occurs again and isn't always followed by the same word."""
     rng = np.random.default_rng(1)
     leaves, sizes = rng.integers(0, 2, 400), np.array([100, 150, 150])
-    for depth in (1, 2, 5, 8, 13):
-        node = S.deep_nodes(leaves, sizes, depth)
-        places = [b + k for b, n in zip(np.cumsum(sizes) - sizes, sizes) for k in range(n - depth + 1)]
-        by_words = {tuple(leaves[p : p + depth]) for p in places}
-        assert len({(int(node[p]), tuple(leaves[p : p + depth])) for p in places}) == len(by_words) == len({int(node[p]) for p in places})
+    stops = np.repeat(np.cumsum(sizes), sizes)
+    tree = S.Subtree(leaves, sizes, np.arange(400))
+    suffixes = [tuple(leaves[p : stops[p]].tolist()) for p in range(400)]
+    assert [suffixes[i] for i in tree.order] == sorted(suffixes)
+    next_words: dict = {}
+    for x in suffixes:
+        for k in range(depth, len(x) + 1):
+            next_words.setdefault(x[:k], []).append(x[k] if k < len(x) else None)
+    expected = {(x, len(n)) for x, n in next_words.items() if len(n) > 1 and (len(set(n)) > 1 or None in n)}
+    assert {(suffixes[tree.order[i]][:d], j - i) for i, j, d in zip(*(x.tolist() for x in tree.deep_nodes(depth)))} == expected
+    values = rng.permutation(400)
+    least: dict = {}
+    for i, v in zip(tree.order, values):
+        x = suffixes[i][:depth]
+        least[x] = min(least.get(x, v), v)
+    assert tree.least_above(values, depth).tolist() == [least[suffixes[i][:depth]] if len(suffixes[i]) >= depth else v for i, v in zip(tree.order, values)]
+
+
+def test_frequent_prefixes_are_extended(spark):
+    """A prefix in every document, with few and with many different continuations."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(["one", "two", "three", "four", "five", *(rng.choice("ab") for _ in range(12)), str(i % 7)] * 3)) for i in range(200)]
+    check(spark, rows, hot_share=0.02)
 
 
 def test_equal_windows_have_equal_anchors():
