@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import schemas
+from .. import report, schemas
 from ..operators import annotation
 from ..operators.components import shared_dir
 from ..session import Session
@@ -228,3 +228,27 @@ def file_order(spark: SparkSession, d: str) -> DataFrame:
     """Clusters get their numbers by the order that is asked for."""
     found = t(spark, d, "nation").select(F.col("n_name").alias("cluster_id"), (-F.col("n_nationkey")).alias("o"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("source_path"))
     return annotation.numbered_clusters(found).select(F.col("name").alias("n_name"), F.col("cluster_ord").alias("display_ord"))
+
+
+@query(
+    "alignment_blocks",
+    """WITH r AS (SELECT x.r_regionkey AS i, y.r_regionkey AS j, x.r_name || ' vs ' || y.r_name AS title FROM region x JOIN region y ON x.r_regionkey < y.r_regionkey),
+        l AS (SELECT i, j, string_agg(a.n_name || ',' || b.n_name || ',' || printf('%.4f', (a.n_nationkey + b.n_nationkey) / 50.0) || ',' || printf('%.4f', (a.n_nationkey * 7 % 25) / 25.0), chr(10) ORDER BY a.n_nationkey * 100 + b.n_nationkey) AS body
+              FROM r JOIN nation a ON a.n_regionkey = i JOIN nation b ON b.n_regionkey = j GROUP BY i, j)
+        SELECT i * 100 + j AS alignment_ord, title || chr(10) || repeat('-', length(title)) || chr(10) || 'Query,Target,Identity,Similarity' || coalesce(chr(10) || body, '') AS block FROM r LEFT JOIN l USING (i, j)""",
+)
+def alignment_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks of a report over regions as clusters and nations as genes, each linked to those of later regions."""
+    session = nation_session(spark, d)
+    cluster = lambda side: session.clusters.select(F.col("cluster_id").alias(f"{side}_cluster_id"), F.col("cluster_ord").alias(f"{side}_ord"))
+    pairs = cluster("query").join(cluster("target"), F.col("query_ord") < F.col("target_ord"))
+    identity = F.concat_ws("-", "query_cluster_id", "target_cluster_id")
+    alignments = pairs.select(identity.alias("alignment_id"), (F.col("query_ord") * 100 + F.col("target_ord")).cast("long").alias("alignment_ord"), "query_cluster_id", "target_cluster_id")
+    gene = lambda side: session.genes.select(F.col("cluster_id").alias(f"{side}_cluster_id"), F.col("gene_id").alias(f"{side}_gene_id"), F.col("gene_ord").alias(side))
+    met = alignments.join(gene("query"), "query_cluster_id").join(gene("target"), "target_cluster_id")
+    links = met.select(
+        F.concat_ws("-", "query_gene_id", "target_gene_id").alias("link_id"), "alignment_id", (F.col("query") * 100 + F.col("target")).alias("link_ord"), "query_gene_id", "target_gene_id",
+        ((F.col("query") + F.col("target")) / 50.0).alias("identity"), (F.col("query") * 7 % 25 / 25.0).alias("similarity"),
+    )
+    session.put_alignments(alignments, links)
+    return report.format_alignments(session, delimiter=",")

@@ -154,18 +154,24 @@ class Session:
         for r in self.genes.select("locus_id", "gene_id", "gene_ord").orderBy("locus_id", "gene_ord").collect():
             by_locus.setdefault(r["locus_id"], []).append(r["gene_id"])
         loci = self.loci.orderBy("cluster_id", "locus_ord").collect()
+        by_cluster: dict[str, list[str]] = {}
+        for x in loci:
+            by_cluster.setdefault(x["cluster_id"], []).append(x["locus_id"])
         clusters = self.clusters.orderBy("cluster_ord").collect()
         links = self.placed_links().orderBy("place").collect()
+        by_alignment: dict[str, list[str]] = {}
+        for x in links:
+            by_alignment.setdefault(x["alignment_id"], []).append(x["link_id"])
         members: dict[str, list[str]] = {}
         for r in self.group_members.orderBy("group_id", "gene_id").collect():
             members.setdefault(r["group_id"], []).append(r["gene_id"])
         return {
             "order": [c["cluster_id"] for c in clusters],
-            "clusters": {c["cluster_id"]: {"uid": c["cluster_id"], "name": c["name"], "loci": [x["locus_id"] for x in loci if x["cluster_id"] == c["cluster_id"]]} for c in clusters},
+            "clusters": {c["cluster_id"]: {"uid": c["cluster_id"], "name": c["name"], "loci": by_cluster.get(c["cluster_id"], [])} for c in clusters},
             "loci": {x["locus_id"]: {"uid": x["locus_id"], "name": x["name"], "start": x["start"], "end": x["end"], "genes": by_locus.get(x["locus_id"], [])} for x in loci},
             "genes": genes,
             "groups": [{"uid": g["group_id"], "label": g["label"], "genes": members.get(g["group_id"], []), "hidden": g["hidden"], "colour": g["colour"]} for g in self.groups.orderBy("group_ord").collect()],
-            "alignments": {a["alignment_id"]: {"uid": a["alignment_id"], "query": a["query_cluster_id"], "target": a["target_cluster_id"], "links": [x["link_id"] for x in links if x["alignment_id"] == a["alignment_id"]]} for a in self.alignments.orderBy("alignment_ord").collect()},
+            "alignments": {a["alignment_id"]: {"uid": a["alignment_id"], "query": a["query_cluster_id"], "target": a["target_cluster_id"], "links": by_alignment.get(a["alignment_id"], [])} for a in self.alignments.orderBy("alignment_ord").collect()},
             "links": {x["link_id"]: {"uid": x["link_id"], "query": genes[x["query_gene_id"]], "target": genes[x["target_gene_id"]], "identity": x["identity"], "similarity": x["similarity"]} for x in links},
         }
 
