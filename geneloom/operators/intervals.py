@@ -5,8 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .components import written
 
 
 def within(df: DataFrame, low: Column | int, high: Column | int, start: str = "start", end: str = "end") -> DataFrame:
@@ -15,21 +20,93 @@ def within(df: DataFrame, low: Column | int, high: Column | int, start: str = "s
     return df.where((F.col(start) >= lit(low)) & (F.col(end) <= lit(high)))
 
 
-def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: list[str], order: str, value: list[str], start: str = "start", end: str = "end", prefix: str = "parent_", bin_width: float = 10_000) -> DataFrame:
-    """Each inner row with the values of the first outer row (by `order`) that contains it, or nulls.
+#: A table of first containers of so many places at most is broadcast, a larger one is dealt.
+BROADCAST_PLACES = 300_000
+
+
+def least_containers(low: np.ndarray, high: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each (start, end) the least i with low[i] <= start and high[i] >= end, or -1.
 
-    `on` are equality keys; `row` are the columns that tell inner rows apart, and may be null. An outer row is filed under
-    every bin of bin_width that it touches and an inner row looks in the bin of its start, so that a long record is dealt
-    over many keys and rows far apart never meet. The first match is a partial aggregate over (row), not a window. An inner
-    row with a null in `on`, start or end has no match.
+    A merge sort tree over i: whether a block of 2^k neighbours holds one is told by the largest high among its lows up to
+    start, and all places go down the tree together. Time is (places + intervals) * log^2, memory in proportion to both.
+    NaN counts as the largest number, as in Spark.
+    """
+    n = len(low)
+    if not n:
+        return np.full(len(start), -1)
+    by_low, by_high = np.argsort(low, kind="stable"), np.argsort(high, kind="stable")
+    low_rank, high_rank = np.empty(n, np.int64), np.empty(n, np.int64)
+    low_rank[by_low] = high_rank[by_high] = np.arange(n)
+    lows, least = np.searchsorted(low[by_low], start, "right"), np.searchsorted(high[by_high], end, "left")
+
+    def holds(block: np.ndarray, k: int) -> np.ndarray:
+        base = (np.arange(n) >> k) * n
+        order = np.argsort(base + low_rank)
+        keys, top = (base + low_rank)[order], np.maximum.accumulate((base + high_rank)[order])
+        at = np.searchsorted(keys, block * n + lows, "left") - 1
+        return (at >= 0) & (top[at] >= block * n + least)
+
+    depth = int(n - 1).bit_length()
+    block = np.zeros(len(start), np.int64)
+    found = np.flatnonzero(holds(block, depth))
+    block, lows, least = block[found], lows[found], least[found]
+    for k in range(depth - 1, -1, -1):
+        block = 2 * block + ~holds(2 * block, k)
+    out = np.full(len(start), -1)
+    out[found] = block
+    return out
+
+
+def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: list[str], order: str, value: list[str], start: str = "start", end: str = "end", prefix: str = "parent_", bin_width: float = 10_000) -> DataFrame:
+    """Each inner row with the values of the first outer row (by `order`, then `value`) that contains it, or nulls.
+
+    An outer row contains an inner one if its start is not above and its end not below the inner row's, also where ends lie
+    before starts. `on` are equality keys; `row` names the columns that tell inner rows apart, which the result does not depend
+    on: rows of equal `on`, start and end share their answer, so that distinct places meet distinct outer intervals. No pair
+    of them is listed: they are dealt by `on` and coordinate bin, and a bin's places are answered together (least_containers).
+    A bin's intervals and places are in one worker's memory.
+    Bins are bin_width wide, and 16 times as wide at each further level; what touches more than 17 bins is filed at the next
+    level, and levels meet in the bins of the wider one. An inner row counts as its start, or as all from end to start where
+    the end lies before. An inner row with a null in `on`, start or end has no match. Places, outer intervals and answers are
+    written to the shared folder; up to BROADCAST_PLACES answers are broadcast, so that inner rows are not shuffled.
     """
-    at = lambda c: F.floor(F.col(c) / F.lit(bin_width))
-    held = outer.select(*on, F.col(start).alias("_low"), F.col(end).alias("_high"), F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in value)).alias("_outer"))
-    held = held.where("_low <= _high").withColumn("_bin", F.explode(F.sequence(at("_low"), at("_high"))))
-    met = inner.select(*on, *(r for r in row if r not in on), *(c for c in (start, end) if c not in (*on, *row)), at(start).alias("_bin")).join(held, [*on, "_bin"]).where((F.col(start) >= F.col("_low")) & (F.col(end) <= F.col("_high")))
-    first = met.groupBy(*row).agg(F.min("_outer").alias("_first")).select("_first", *(F.col(r).alias(f"_row {i}") for i, r in enumerate(row)))
-    same = reduce(and_, (inner[r].eqNullSafe(F.col(f"_row {i}")) for i, r in enumerate(row)))
-    return inner.join(first, same, "left").select(*inner.columns, *(F.col(f"_first.{v}").alias(prefix + v) for v in value))
+    keys, at = [f"_on_{i}" for i in range(len(on))], [*(f"_on_{i}" for i in range(len(on))), "_start", "_end"]
+    named = lambda df: [F.col(c).alias(k) for c, k in zip([*on, start, end], at)]
+    kinds = inner.select(*named(inner)).union(outer.select(*named(outer))).schema
+    typed = [F.col(c).cast(k.dataType).alias(k.name) for c, k in zip([*on, start, end], kinds)]
+    whole = reduce(and_, (F.col(k).isNotNull() for k in at))
+    bin_of = lambda c: F.floor(F.greatest(F.lit(-(2.0**60)), F.least(F.lit(2.0**60), c / F.lit(float(bin_width)))))
+
+    def filed(df: DataFrame, last: Column, name: str) -> tuple[DataFrame, Column]:
+        """df, written, with its range of bins and its level; the levels there are."""
+        df = df.withColumn("_from", bin_of(F.least("_start", "_end"))).withColumn("_to", bin_of(last))
+        df = written(df.withColumn("_level", F.expr("CAST((length(bin(_to - _from)) - 1) DIV 4 AS INT)")), name)
+        return df, F.array(*(F.lit(r[0]) for r in df.select("_level").distinct().collect())).cast("array<int>")
+
+    def dealt(df: DataFrame, own: str, levels: Column, other: str) -> DataFrame:
+        met = df.withColumnRenamed("_level", own).withColumn(other, F.explode(levels))
+        shifted = "shiftright({}, 4 * greatest(_level_in, _level_out))"
+        return met.withColumn("_bin", F.explode(F.expr(f"sequence({shifted.format('_from')}, {shifted.format('_to')})"))).drop("_from", "_to")
+
+    places, place_levels = filed(inner.select(*typed).where(whole).distinct(), F.col("_start"), "places")
+    held = outer.select(*typed, F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in value)).alias("_outer")).where(whole)
+    held, held_levels = filed(held.groupBy(*at).agg(F.min("_outer").alias("_outer")), F.greatest("_start", "_end"), "intervals")
+    dealt_by = [*keys, "_level_in", "_level_out", "_bin"]
+    ranked = dealt(held, "_level_out", place_levels, "_level_in").withColumn("_place", F.row_number().over(Window.partitionBy(*dealt_by).orderBy("_outer")))
+
+    def meet(places: pa.Table, held: pa.Table) -> pa.Table:
+        held = held.sort_by("_place")
+        low, high, first, last = (t[c].to_numpy() for t in (held, places) for c in ("_start", "_end"))
+        found = least_containers(low, high, first, last)
+        hit = np.flatnonzero(found >= 0)
+        return places.select(at).take(hit).append_column("_outer", held["_outer"].take(found[hit]))
+
+    met = dealt(places, "_level_in", held_levels, "_level_out").groupBy(*dealt_by).cogroup(ranked.groupBy(*dealt_by)).applyInArrow(meet, T.StructType([*places.select(*at).schema, held.schema["_outer"]]))
+    first = written(met.groupBy(*at).agg(F.min("_outer").alias("_outer")), "containers")
+    if first.count() <= BROADCAST_PLACES:
+        first = F.broadcast(first)
+    same = reduce(and_, (inner[c].cast(k.dataType) == first[k.name] for c, k in zip([*on, start, end], kinds)))
+    return inner.join(first, same, "left").select(*inner.columns, *(F.col(f"_outer.{v}").alias(prefix + v) for v in value))
 
 
 def islands(df: DataFrame, partition: list[str], order: list[str], key: str, name: str = "island") -> DataFrame:

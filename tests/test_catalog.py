@@ -35,6 +35,17 @@ def test_containment_of_all_lineitems(spark, con):
     assert len({r[0] % 10 for r in found}) == 10
 
 
+def test_containment_of_odd_rows(spark, tmp_path):
+    """Sizes below zero, so that intervals end before rows start or before they start themselves, nulls, repeated rows, very large sizes."""
+    con = connect()
+    con.execute(f"""COPY (SELECT CAST(i // 9 AS BIGINT) AS p_partkey, CAST(CASE WHEN i % 11 = 0 THEN NULL WHEN i % 7 = 0 THEN 100000000 + i ELSE i * 37 % 61 - 50 END AS INTEGER) AS p_size FROM range(1800) r(i)) TO '{tmp_path}/part.parquet' (FORMAT parquet)""")
+    con.execute(f"""COPY (SELECT CAST(i // 2 AS BIGINT) AS l_orderkey, CAST(i % 5 AS BIGINT) AS l_partkey, CAST(CASE WHEN i % 31 = 0 THEN NULL ELSE i % 300 - 100 END AS BIGINT) AS l_suppkey, CAST(CASE WHEN i % 29 = 0 THEN NULL ELSE i % 9 END AS INTEGER) AS l_linenumber,
+        CASE WHEN i % 23 = 0 THEN NULL WHEN i % 19 = 0 THEN 5e7 ELSE i * 17 % 120 - 60 END + 0.5 AS l_quantity, 1.5 AS l_extendedprice FROM (SELECT i % 1500 AS i FROM range(2000) r(i))) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)""")
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    same(catalog.QUERIES["interval_containment_first"](spark, str(tmp_path)), con, catalog.ORACLE_SQL["interval_containment_first"])
+
+
 def test_pairs_of_all_nations(spark, con, tmp_path):
     """Three suppliers a nation, so that every pair of nations has links."""
     con.execute(f"COPY nation TO '{tmp_path}/nation.parquet' (FORMAT parquet)")

@@ -53,6 +53,58 @@ def test_first_containing_with_null_keys_and_bins(spark):
         assert {r["n"]: r["parent_n"] for r in found.collect()} == expected
 
 
+def rows_of_joins(spark, since: int) -> int:
+    """The most rows that a join of the runs from number `since` on put out."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i).executionId() for i in range(runs.size())):
+        if run < since:
+            continue
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return most
+
+
+def test_first_containing_lists_no_pairs(spark, monkeypatch):
+    """Every interval holds every place, 4,000,000 pairs in one bin: no join makes more rows than there are places."""
+    n = 2000
+    inner = spark.range(n).select(F.lit(1).alias("rec"), F.col("id").alias("n"), (5000 + F.col("id")).alias("start"), (7000 + F.col("id")).alias("end"))
+    outer = spark.range(n).select(F.lit(1).alias("rec"), (F.lit(n) - F.col("id")).alias("n"), F.col("id").alias("start"), (9999 - F.col("id") / 10_000).alias("end"))
+    for limit in (intervals.BROADCAST_PLACES, 0):
+        monkeypatch.setattr(intervals, "BROADCAST_PLACES", limit)
+        runs = spark._jsparkSession.sharedState().statusStore().executionsCount()
+        found = intervals.first_containing(inner, outer, ["rec"], ["n"], "n", ["n"]).collect()
+        assert [r["parent_n"] for r in sorted(found)] == [1] * n
+        assert 0 < rows_of_joins(spark, runs) <= n
+
+
+def test_first_containing_of_any_intervals(spark, monkeypatch):
+    """Ends before starts, ties, very long and very short intervals, repeated rows, NaN, numbers of several kinds, no rows."""
+    rng = random.Random(3)
+    point = lambda wide: float(rng.choice([rng.randrange(-9, 9), rng.randrange(-wide, wide)]))
+    last = lambda x: float("inf") if x != x else x
+    for kind, wide in (("double", 40), ("int", 10**9), ("decimal(20,2)", 10**5)):
+        a, b = ([(rng.randrange(3), i // 2, point(wide), point(wide)) for i in range(160)] for _ in range(2))
+        if kind == "double":
+            a[:2], b[:2] = [(1, 200, 3.0, float("nan")), (1, 201, float("nan"), 3.0)], [(1, -1, -5.0, float("nan")), (1, -2, float("nan"), 50.0)]
+        expected = sorted(((r, i, *map(last, (x, y))), min(((j, last(w)) for s, j, z, w in b if s == r and last(z) <= last(x) and last(w) >= last(y)), default=(-9, -9))) for r, i, x, y in a)
+        schema = "rec int, n int, start double, end double"
+        inner, outer = spark.createDataFrame(a + a[:5], schema), spark.createDataFrame(b + b[:5], schema)
+        typed = outer if kind == "double" else outer.select("rec", "n", F.col("start").cast(kind), F.col("end").cast(kind))
+        for limit, width in ((intervals.BROADCAST_PLACES, 2), (0, 10_000)):
+            monkeypatch.setattr(intervals, "BROADCAST_PLACES", limit)
+            found = intervals.first_containing(inner if kind == "double" else inner.select("rec", "n", F.col("start").cast("long"), F.col("end").cast("long")), typed, ["rec"], ["rec", "n"], "n", ["n", "end"], bin_width=width).collect()
+            got = sorted(((r[0], r[1], *(last(float(x)) for x in r[2:4])), (-9, -9) if r[4] is None else (r[4], last(float(r[5])))) for r in found)
+            assert got == sorted(expected + [e for r, i, x, y in a[:5] for e in expected if e[0] == (r, i, last(x), last(y))][:5])
+    none = inner.limit(0)
+    assert intervals.first_containing(none, outer, ["rec"], ["rec", "n"], "n", ["n"]).collect() == []
+    assert {r["parent_n"] for r in intervals.first_containing(inner, none, ["rec"], ["rec", "n"], "n", ["n"]).collect()} == {None}
+
+
 def test_islands_and_abutting_parts(spark):
     rows = spark.createDataFrame([(1, i, k) for i, k in enumerate("aabba")] + [(2, 0, None), (2, 1, None), (2, 2, "x")], "p int, i int, k string")
     found = {(r["p"], r["i"]): r["island"] for r in intervals.islands(rows, ["p"], ["i"], "k").collect()}
