@@ -7,11 +7,11 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .components import written
+from .components import shared_dir
 
 
 def within(df: DataFrame, low: Column | int, high: Column | int, start: str = "start", end: str = "end") -> DataFrame:
@@ -57,6 +57,24 @@ def least_containers(low: np.ndarray, high: np.ndarray, start: np.ndarray, end:
     return out
 
 
+def written_once(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and its path. Spark removes the run's shuffle files at once, not when the driver next collects garbage; the session keeps its own setting."""
+    conf, key, path = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shared_dir(df.sparkSession, name)
+    own = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(key) if own is None else conf.set(key, own)
+    return df.sparkSession.read.parquet(path).select(*df.columns), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes what written_once wrote."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: list[str], order: str, value: list[str], start: str = "start", end: str = "end", prefix: str = "parent_", bin_width: float = 10_000) -> DataFrame:
     """Each inner row with the values of the first outer row (by `order`, then `value`) that contains it, or nulls.
 
@@ -65,10 +83,10 @@ def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: lis
     on: rows of equal `on`, start and end share their answer, so that distinct places meet distinct outer intervals. No pair
     of them is listed: they are dealt by `on` and coordinate bin, and a bin's places are answered together (least_containers).
     A bin's intervals and places are in one worker's memory.
-    Bins are bin_width wide, and 16 times as wide at each further level; what touches more than 17 bins is filed at the next
+    Bins are bin_width wide, and 32 times as wide at each further level; what touches more than 33 bins is filed at the next
     level, and levels meet in the bins of the wider one. An inner row counts as its start, or as all from end to start where
     the end lies before. An inner row with a null in `on`, start or end has no match. Places, outer intervals and answers are
-    written to the shared folder; up to BROADCAST_PLACES answers are broadcast, so that inner rows are not shuffled.
+    written to the shared folder, of which the answers stay; up to BROADCAST_PLACES answers are broadcast, so that inner rows are not shuffled.
     """
     keys, at = [f"_on_{i}" for i in range(len(on))], [*(f"_on_{i}" for i in range(len(on))), "_start", "_end"]
     named = lambda df: [F.col(c).alias(k) for c, k in zip([*on, start, end], at)]
@@ -77,20 +95,20 @@ def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: lis
     whole = reduce(and_, (F.col(k).isNotNull() for k in at))
     bin_of = lambda c: F.floor(F.greatest(F.lit(-(2.0**60)), F.least(F.lit(2.0**60), c / F.lit(float(bin_width)))))
 
-    def filed(df: DataFrame, last: Column, name: str) -> tuple[DataFrame, Column]:
-        """df, written, with its range of bins and its level; the levels there are."""
+    def filed(df: DataFrame, last: Column, name: str) -> tuple[DataFrame, str, Column]:
+        """df, written, with its range of bins and its level; its path; the levels there are."""
         df = df.withColumn("_from", bin_of(F.least("_start", "_end"))).withColumn("_to", bin_of(last))
-        df = written(df.withColumn("_level", F.expr("CAST((length(bin(_to - _from)) - 1) DIV 4 AS INT)")), name)
-        return df, F.array(*(F.lit(r[0]) for r in df.select("_level").distinct().collect())).cast("array<int>")
+        df, path = written_once(df.withColumn("_level", F.expr("CAST((length(bin(_to - _from)) - 1) DIV 5 AS INT)")), name)
+        return df, path, F.array(*(F.lit(r[0]) for r in df.select("_level").distinct().collect())).cast("array<int>")
 
     def dealt(df: DataFrame, own: str, levels: Column, other: str) -> DataFrame:
         met = df.withColumnRenamed("_level", own).withColumn(other, F.explode(levels))
-        shifted = "shiftright({}, 4 * greatest(_level_in, _level_out))"
+        shifted = "shiftright({}, 5 * greatest(_level_in, _level_out))"
         return met.withColumn("_bin", F.explode(F.expr(f"sequence({shifted.format('_from')}, {shifted.format('_to')})"))).drop("_from", "_to")
 
-    places, place_levels = filed(inner.select(*typed).where(whole).distinct(), F.col("_start"), "places")
+    places, places_path, place_levels = filed(inner.select(*typed).where(whole).distinct(), F.col("_start"), "places")
     held = outer.select(*typed, F.struct(F.col(order).alias("_order"), *(F.col(v).alias(v) for v in value)).alias("_outer")).where(whole)
-    held, held_levels = filed(held.groupBy(*at).agg(F.min("_outer").alias("_outer")), F.greatest("_start", "_end"), "intervals")
+    held, held_path, held_levels = filed(held.groupBy(*at).agg(F.min("_outer").alias("_outer")), F.greatest("_start", "_end"), "intervals")
     dealt_by = [*keys, "_level_in", "_level_out", "_bin"]
     ranked = dealt(held, "_level_out", place_levels, "_level_in").withColumn("_place", F.row_number().over(Window.partitionBy(*dealt_by).orderBy("_outer")))
 
@@ -102,7 +120,9 @@ def first_containing(inner: DataFrame, outer: DataFrame, on: list[str], row: lis
         return places.select(at).take(hit).append_column("_outer", held["_outer"].take(found[hit]))
 
     met = dealt(places, "_level_in", held_levels, "_level_out").groupBy(*dealt_by).cogroup(ranked.groupBy(*dealt_by)).applyInArrow(meet, T.StructType([*places.select(*at).schema, held.schema["_outer"]]))
-    first = written(met.groupBy(*at).agg(F.min("_outer").alias("_outer")), "containers")
+    first, _ = written_once(met.groupBy(*at).agg(F.min("_outer").alias("_outer")), "containers")
+    for path in (places_path, held_path):
+        removed(inner.sparkSession, path)
     if first.count() <= BROADCAST_PLACES:
         first = F.broadcast(first)
     same = reduce(and_, (inner[c].cast(k.dataType) == first[k.name] for c, k in zip([*on, start, end], kinds)))
